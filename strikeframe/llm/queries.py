@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, quality, topk
+from strikeframe.llm import bpe, decontaminate, pii, quality, topk
 from strikeframe.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The key of the queries' surrogates; a real corpus has its own, kept secret.
+SURROGATE_KEY = "strikeframe-demonstration"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, SURROGATE_KEY)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every text of documents against the benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +86,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op8_quality": op8_quality,
         "op9_exact_top_k": op9_exact_top_k,
