@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, pii, quality, topk
-from strikeframe.llm.common import crc_fold, table
+from strikeframe.llm import bpe, decontaminate, pii, quality, topk, warc
+from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a WARC record and reads the archives back."""
+    path = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 #: The key of the queries' surrogates; a real corpus has its own, kept secret.
 SURROGATE_KEY = "strikeframe-demonstration"
 
@@ -86,6 +103,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_warc": op2_warc,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op8_quality": op8_quality,
@@ -94,4 +112,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op9_exact_top_k": OP9_SQL}
