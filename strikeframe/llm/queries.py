@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, pii, quality, topk, warc
+from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, topk, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of near copies among all documents."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents for quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -106,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op2_warc": op2_warc,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_quality": op8_quality,
         "op9_exact_top_k": op9_exact_top_k,
     }
