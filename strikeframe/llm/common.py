@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeframe.llm.textvec import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
@@ -47,5 +53,36 @@ def crc_fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-def null_safe(key: str) -> Column:
-    return F.col(key).isNotNull()
+#: Bits of a membership filter; its size is the same however many keys it holds.
+FILTER_BITS = 1 << 25
+
+
+def filter_places(keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    return (mix(keys.view(np.uint64).copy()) % np.uint64(bits)).astype(np.int64)
+
+
+def membership(keys: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
+    """Bits for a column of 64-bit keys, for sparing rows that surely have none of them a shuffle. No key is missed."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits, bool)
+        for batch in batches:
+            field[filter_places(np.asarray(batch.column(0)), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["field"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(0):
+                field |= np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], names=["field"])
+
+    field = keys.coalesce(16).mapInArrow(marked, "field binary").coalesce(1).mapInArrow(either, "field binary").first()[0]
+    return keys.sparkSession.sparkContext.broadcast(bytes(field))
+
+
+def has(shared: Broadcast, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of ``membership``."""
+    field = np.frombuffer(shared.value, np.uint8)
+    at = filter_places(keys, 8 * len(field))
+    return (field[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, topk, warc
+from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, substring, topk, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that come earlier in others (or themselves), by pair of document and source."""
+    found = substring.repeats(table(spark, sf_dir, "documents")).select("doc_id", F.explode("passages").alias("p"))
+    pairs = found.select("doc_id", F.explode("p.source_ids").alias("source_id"), "p")
+    return pairs.groupBy("doc_id", "source_id").agg(
+        F.count("*").alias("n_passages"), F.sum(F.col("p.end") - F.col("p.start")).alias("passage_bytes"), F.min("p.start").alias("first_start")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -114,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op6_jaccard_join": op6_jaccard_join,
         "op8_quality": op8_quality,
         "op9_exact_top_k": op9_exact_top_k,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

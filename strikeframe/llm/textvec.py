@@ -33,6 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
+#: A second, independent set of codes; both hashes together have 128 bits.
+MORE_CODES = mix(BYTE_CODES + _GOLDEN)
+
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -88,13 +91,13 @@ def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """A 64-bit hash of each run, from sums of byte codes times powers of a base."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[:-1], out=total[1:])
+    np.cumsum(codes[data] * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 
