@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, substring, topk, warc
+from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, substring, topk, toxicity, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,15 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text of documents for toxicity."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold("doc_id", 5) == 0
+    return toxicity.score(docs, labels, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.slice("evidence.example", 1, 3).alias("evidence")
+    )
+
+
 #: The key of the queries' surrogates; a real corpus has its own, kept secret.
 SURROGATE_KEY = "strikeframe-demonstration"
 
@@ -118,6 +127,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_warc": op2_warc,
+        "op3_toxicity": op3_toxicity,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
