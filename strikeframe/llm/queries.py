@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, jaccard, pii, quality, substring, topk, toxicity, warc
+from strikeframe.llm import bpe, decontaminate, html_text, jaccard, pii, quality, substring, topk, toxicity, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text of documents for quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -131,6 +136,7 @@ def queries() -> dict[str, Query]:
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_html_text": op7_html_text,
         "op8_quality": op8_quality,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_substring_dedup": op10_substring_dedup,
