@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm import textvec as V
-from strikeframe.llm.common import written
+from strikeframe.llm.common import has, membership, written
 
 WIDTH, NUM, DEN = 5, 75, 100
 SKETCH = 1024
@@ -380,32 +380,14 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar enough, by comparing them whole."""
-    bits = 1 << 23
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
-        for batch in batches:
-            field[(V.mix(np.asarray(batch.column(0)).view(np.uint64).copy()) % np.uint64(bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["field"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for x in batch.column(0):
-                field |= np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], names=["field"])
-
-    # one megabyte, however many nodes: texts that surely aren't concerned go no further
-    field = ends.coalesce(16).mapInArrow(marked, "field binary").coalesce(1).mapInArrow(either, "field binary").first()[0]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(field))
+    shared = membership(ends)  # texts that surely aren't concerned go no further
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             for i, j, values, rows in _portions(batch, 0, width):
                 size, node = _nodes(values, rows, j - i)
-                keep = (size > 0) & wanted[(V.mix(node.view(np.uint64).copy()) % np.uint64(bits)).astype(np.int64)]
+                keep = (size > 0) & has(shared, node)
                 first = np.zeros(j - i, bool)
                 first[np.unique(node, return_index=True)[1]] = True
                 end = np.cumsum(size)
@@ -459,3 +441,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     ids = written(ids, "jaccard-ids")
     final = ids.select("node", "label").join(ids.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return rows.join(final, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those linked to one of a smaller id; rows of one id count as one, rows without id stay.
+
+    Only rows that a membership filter can't clear are shuffled for the exact test.
+    """
+    groups = written(join(docs, key, text, **options), "jaccard-groups")
+    verdict = groups.where("doc_id is not null").groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows"))
+    verdict = written(verdict.where("not stays or rows > 1"), "jaccard-verdict")
+    shared = membership(verdict.select("doc_id"))
+    names = docs.columns
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(len(names))
+            doubt = has(shared, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, pa.array(doubt)], names=[*names, "__id__", "__doubt__"])
+
+    schema = docs.select("*", F.col(key).cast("long").alias("__id__"), F.lit(True).alias("__doubt__")).schema
+    rows = docs.select("*", F.col(key).cast("long").alias("__id__")).mapInArrow(marked, schema)
+    doubtful = rows.where("__doubt__").join(verdict.withColumnRenamed("doc_id", "__id__"), "__id__", "left")
+    exact = doubtful.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["__id__"])
+    return rows.where("not __doubt__").select(*names).unionByName(exact.select(*names))

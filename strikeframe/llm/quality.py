@@ -202,12 +202,22 @@ def scored(df: DataFrame, model: Model, features: str = "statistics", out: str =
     return df.select(*keep, features).mapInArrow(run, df.select(*keep).schema.add(out, T.DoubleType()))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", out: str = "score", keep: list[str] | None = None
-) -> DataFrame:
-    """``keep`` columns (the key if none are named) with the score of every text, learning where ``learn`` holds of labels."""
-    keep = [key] if keep is None else keep
-    stats = written(with_statistics(docs, text, keep), "statistics")
+def learned(stats: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", label: str = "quality") -> Model:
+    """Fits on the statistics of the rows with labels where ``learn`` holds of the label."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & learn).groupBy(key).agg(F.avg(label).alias("label"))
-    labelled = stats.select(key, "statistics").join(known, key).select("statistics", "label", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"))
-    return scored(stats, fit(labelled), out=out)
+    return fit(stats.select(key, "statistics").join(known, key).select("statistics", "label", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", out: str = "score") -> DataFrame:
+    """The key and the score of every text."""
+    stats = written(with_statistics(docs, text, [key]), "statistics")
+    return scored(stats, learned(stats, labels, learn, key, label), out=out)
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, learn: Column, least: float, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The rows of ``docs`` whose texts score ``least`` or more; their statistics are made anew, so no text is stored."""
+    model = learned(written(with_statistics(docs, text, [key]), "statistics"), labels, learn, key, label)
+    every = with_statistics(docs, text, docs.columns, out="__statistics__")
+    return scored(every, model, "__statistics__", "__score__").where(F.col("__score__") >= least).select(*docs.columns)
