@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces whose ids a worker keeps; beyond it the table starts anew.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 150_000
 #: Characters of text whose tokens are held at a time.
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 1_500_000
 
 OFFSETS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 

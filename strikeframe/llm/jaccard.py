@@ -44,6 +44,8 @@ PACKED = 2_000_000
 FREQUENT, KEPT = 1 / 200, 500_000
 #: Members of a list that are compared with each other in one block.
 BLOCK = 512
+#: A member's least keys, by which a pair is told only by the first list that holds both, if that is among them.
+FIRST_KEYS = 8
 
 
 def _nodes(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,10 +325,14 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
     placed = lists.select("key", "node", "size", "sketch").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = placed.join(mixed.select("key", blocks.alias("blocks")), "key")
+    padded = F.concat(F.array_sort(F.collect_set("key")), F.array_repeat(F.lit(2**63 - 1), FIRST_KEYS))
+    member = member.join(member.groupBy("node").agg(F.slice(padded, 1, FIRST_KEYS).alias("firsts")), "node")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    member = member.select(cell.alias("cell"), "node", "size", "label", "sketch", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") == F.col("other")).alias("alone"))
+    side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1)
+    member = member.select(cell.alias("cell"), "key", "node", "size", "label", "sketch", "firsts", side.alias("side"), (F.col("block") == F.col("other")).alias("alone"))
     parts = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +344,12 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
             small, large = np.minimum(t["size"][i], t["size"][j]), np.maximum(t["size"][i], t["size"][j])
             keep = small * den >= large * num
             i, j, both = i[keep], j[keep], (small + large)[keep]
-            apart = np.bitwise_count(t["sketch"][i] ^ t["sketch"][j]).sum(1, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
+            apart = np.bitwise_count((t["sketch"][i] ^ t["sketch"][j]).view(np.uint64)).sum(1, dtype=np.int64)
             keep = apart * (den + num) <= both * (den - num)
+            i, j = i[keep], j[keep]
+            x, y = t["firsts"][i], t["firsts"][j]
+            told = ((x[:, :, None] == y[:, None, :]) & (x < t["key"][i][:, None])[:, :, None]).any((1, 2))
+            keep = ~told
             return t["node"][i[keep]], t["node"][j[keep]]
 
         rest: dict[str, np.ndarray] | None = None
@@ -366,9 +376,10 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            t = {c: np.asarray(batch.column(c)) for c in ("cell", "node", "size", "label", "side")}
+            t = {c: np.asarray(batch.column(c)) for c in ("cell", "key", "node", "size", "label", "side")}
             t["alone"] = np.asarray(batch.column("alone").cast(pa.int8())).astype(bool)
-            t["sketch"] = np.asarray(batch.column("sketch").flatten()).reshape(len(batch), -1)
+            for c in ("sketch", "firsts"):
+                t[c] = np.asarray(batch.column(c).flatten()).reshape(len(batch), -1)
             t = t if rest is None else {k: np.concatenate([rest[k], v]) for k, v in t.items()}
             found, rest = cells(t, False)
             yield emitted(found)

@@ -17,20 +17,20 @@ never inputs of a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm.common import written
 from strikeframe.llm.quality import rising
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4_096, 15, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4_096, 15, 512
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Least examples with a term. Its log-likelihood ratio must be what chance gives the best of all such terms, too.
 LEAST_EXAMPLES = 3
@@ -128,7 +128,7 @@ def term_counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataF
 class Index:
     """The examples' inverted lists in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], block: int = BLOCK):
         order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=-1), ids[i]))
         self.ids, self.labels = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int64)
         self.block, self.blocks = block, max(1, -(-len(ids) // block))
@@ -153,24 +153,33 @@ class Index:
         bound = np.zeros(self.blocks)
         for t in terms:
             bound += vector[t] * self.bounds[t]
-        best: list[tuple[float, int, int]] = []
+        best, at = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] * (1 + 1e-12) < best[-1][0]):
+            least = best[-1] if len(best) == k else 0.0
+            if bound[b] <= 0 or bound[b] * (1 + 1e-12) < least:
                 break
             scores = np.zeros(self.block)
             for t in terms:
                 low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.rows[t][low:high] - b * self.block] += vector[t] * self.weights[t][low:high]
-            at = np.flatnonzero(scores > 0)
-            new = [(float(s), int(i), int(y)) for s, i, y in zip(np.round(scores[at], 12), self.ids[b * self.block + at], self.labels[b * self.block + at], strict=True) if i != without]
-            best = sorted(best + new, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+                if low < high:
+                    scores[self.rows[t][low:high] - b * self.block] += vector[t] * self.weights[t][low:high]
+            scores = np.round(scores, 12)
+            if np.count_nonzero(scores) > 2 * k:
+                least = max(least, np.partition(scores, self.block - k - 1)[self.block - k - 1])
+            new = np.flatnonzero((scores > 0) & (scores >= least))
+            best, at = np.concatenate([best, scores[new]]), np.concatenate([at, new + b * self.block])
+            if without is not None:
+                other = self.ids[at] != without
+                best, at = best[other], at[other]
+            order = np.lexsort((self.ids[at], -best))[:k]
+            best, at = best[order], at[order]
+        return list(zip(best.tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True))
 
 
 def vector(terms: list[int], counts: list[int], weights: np.ndarray) -> dict[int, float]:
     """TF-IDF of unit length."""
-    raw = {t: (1 + np.log(c)) * weights[t] for t, c in zip(terms, counts, strict=True) if weights[t] > 0}
-    norm = np.sqrt(sum(x * x for x in raw.values()))
+    raw = {t: (1 + math.log(c)) * float(weights[t]) for t, c in zip(terms, counts, strict=True) if weights[t] > 0}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
     return {t: x / norm for t, x in raw.items()} if norm else {}
 
 
@@ -209,23 +218,30 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
         frequency[r.t] = r["count"]
     frequency[-1] = total  # every text has other words, though they only count beside a term
     weights = np.where(frequency > 0, np.log((1 + total) / (1 + frequency)) + 1, 0.0)
-    rows = counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "weight", "terms", "counts").collect()
-    vectors = [vector(r.terms, r.counts, weights) for r in rows]
-    index = Index([r.doc_id for r in rows], [r.y for r in rows], vectors, len(terms))
-    votes = np.array([vote(index.nearest(v, k, r.doc_id)) for r, v in zip(rows, vectors, strict=True)])
-    none, edges, levels = calibration(votes, np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float))
+    known = written(counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "weight", "terms", "counts"), "toxicity-known")
+    rows = known.collect()  # bounded, as the sample is
+    index = spark.sparkContext.broadcast((Index([r.doc_id for r in rows], [r.y for r in rows], [vector(r.terms, r.counts, weights) for r in rows]), weights))
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, w = index.value
+        for batch in batches:
+            votes = [vote(own.nearest(vector(t, c, w), k, i)) if t else -1.0 for i, t, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "counts")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y"), batch.column("weight")], names=["vote", "y", "weight"])
+
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    votes = known.repartition(parts, "doc_id").mapInArrow(voted, "vote double, y int, weight double").collect()
+    none, edges, levels = calibration(*(np.array([float(r[i]) for r in votes]) for i in range(3)))
     if not rows:
         none = share
-    shared: Broadcast = spark.sparkContext.broadcast((index, weights, none, edges, levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, without, x, y = shared.value
+        own, w = index.value
         for batch in batches:
             scores, evidence = [], []
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 near = own.nearest(vector(t, c, w), k) if t else []
                 v = vote(near)
-                scores.append(min(max(float(np.interp(v, x, y)) if v >= 0 else without, 0.0), 1.0))
+                scores.append(min(max(float(np.interp(v, edges, levels)) if v >= 0 else none, 0.0), 1.0))
                 evidence.append([{"example": i, "cosine": s, "label": b} for s, i, b in near])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
