@@ -44,7 +44,8 @@ PACKED = 2_000_000
 FREQUENT, KEPT = 1 / 200, 500_000
 #: Members of a list that are compared with each other in one block.
 BLOCK = 512
-#: A member's least keys, by which a pair is told only by the first list that holds both, if that is among them.
+#: A member's least keys, by which a pair is told only by the first list that holds both, if that is among them (a
+#: list that holds nodes of two components is compared, so that first list surely is).
 FIRST_KEYS = 8
 
 
@@ -287,7 +288,8 @@ def boundary(prefix: DataFrame) -> int:
 
 
 def postings(prefix: DataFrame, most_light: int, num: int, den: int) -> DataFrame:
-    """key, node, size, own and sketch: pairs of small sets, lists of large ones and of small ones near them."""
+    """key, node, size, own, sketch and the node's first keys: pairs of small sets, lists of large ones and of small
+    ones near them."""
     light = F.col("size") <= most_light
     n = F.size("shingles")
     pairs = F.flatten(
@@ -299,8 +301,10 @@ def postings(prefix: DataFrame, most_light: int, num: int, den: int) -> DataFram
     none = F.array().cast("array<long>")
     near = F.col("size") * den >= F.lit(num * (most_light + 1))
     lists = F.when(~light | near, F.slice("shingles", F.lit(1), F.col("short"))).otherwise(none)
-    keys = F.concat(F.when(light & (n > 1), pairs).otherwise(none), lists)
-    return prefix.select(F.explode(F.array_distinct(keys)).alias("key"), "node", "size", "own", "sketch")
+    keys = F.array_distinct(F.concat(F.when(light & (n > 1), pairs).otherwise(none), lists))
+    found = prefix.select(F.array_sort(keys).alias("keys"), "node", "size", "own", "sketch")
+    firsts = F.slice(F.concat("keys", F.array_repeat(F.lit(2**63 - 1), FIRST_KEYS)), 1, FIRST_KEYS)
+    return found.select(F.explode("keys").alias("key"), "node", "size", "own", "sketch", firsts.alias("firsts"))
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -322,12 +326,10 @@ def stars(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members of a list that are in different components and that sizes and sketches allow."""
-    placed = lists.select("key", "node", "size", "sketch").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = lists.select("key", "node", "size", "sketch", "firsts").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = placed.join(mixed.select("key", blocks.alias("blocks")), "key")
-    padded = F.concat(F.array_sort(F.collect_set("key")), F.array_repeat(F.lit(2**63 - 1), FIRST_KEYS))
-    member = member.join(member.groupBy("node").agg(F.slice(padded, 1, FIRST_KEYS).alias("firsts")), "node")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
