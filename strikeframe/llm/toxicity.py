@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strikeframe.llm.common import written
 from strikeframe.llm.quality import rising
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4_096, 15, 512
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4_096, 15, 2_048
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Least examples with a term. Its log-likelihood ratio must be what chance gives the best of all such terms, too.
 LEAST_EXAMPLES = 3
