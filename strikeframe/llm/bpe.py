@@ -54,8 +54,42 @@ def merge_order(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     return sorted(cuts, key=lambda i: ((i in late) - (i in early), i))
 
 
+class ByteTable:
+    """The bytes of every id, in the printable alphabet's reverse: all that decoding needs."""
+
+    def __init__(self, data: bytes):
+        alphabet = byte_alphabet()
+        back = {c: b for b, c in enumerate(alphabet)}
+        ranks = read_ranks(data)
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            table[i] = bytes(back[alphabet[b]] for b in token)
+        self.lengths = np.array([len(t) for t in table], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that the ids stand for; they need not end at a character's end."""
+        at = np.frombuffer(ids, "<u4").astype(np.int64)
+        length = self.lengths[at]
+        ends = np.cumsum(length)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.starts[at] - ends + length, length) + np.arange(ends[-1])].tobytes()
+
+    def offsets(self, ids: bytes) -> np.ndarray:
+        """(start, end) in characters for each token; a character split over tokens belongs to each of them."""
+        at = np.frombuffer(ids, "<u4").astype(np.int64)
+        ends = np.cumsum(self.lengths[at])
+        if not len(ends):
+            return np.zeros((0, 2), np.int64)
+        begins = (np.frombuffer(self.decode(ids), np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(begins) - 1
+        return np.stack([character[ends - self.lengths[at]], character[ends - 1] + 1], 1)
+
+
 class Codec:
-    """A vocabulary in the forms that encoding and decoding need."""
+    """A vocabulary in the form that encoding needs."""
 
     def __init__(self, data: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
@@ -70,14 +104,6 @@ class Codec:
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        back = {c: b for b, c in enumerate(alphabet)}
-        size = max(ranks.values(), default=-1) + 1
-        table = [b""] * size
-        for text, i in self.pieces.get_vocab().items():
-            table[i] = bytes(back[c] for c in text)
-        self.lengths = np.array([len(t) for t in table], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -93,27 +119,9 @@ class Codec:
         known = self.known
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that the ids stand for; they need not end at a character's end."""
-        at = np.frombuffer(ids, "<u4").astype(np.int64)
-        length = self.lengths[at]
-        ends = np.cumsum(length)
-        if not len(ends):
-            return b""
-        return self.flat[np.repeat(self.starts[at] - ends + length, length) + np.arange(ends[-1])].tobytes()
-
-    def offsets(self, ids: bytes) -> np.ndarray:
-        """(start, end) in characters for each token; a character split over tokens belongs to each of them."""
-        at = np.frombuffer(ids, "<u4").astype(np.int64)
-        ends = np.cumsum(self.lengths[at])
-        if not len(ends):
-            return np.zeros((0, 2), np.int64)
-        begins = (np.frombuffer(self.decode(ids), np.uint8) & 0xC0) != 0x80
-        character = np.cumsum(begins) - 1
-        return np.stack([character[ends - self.lengths[at]], character[ends - 1] + 1], 1)
-
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_TABLES: dict[str, ByteTable] = {}
 
 
 def codec(shared: Broadcast) -> Codec:
@@ -125,6 +133,15 @@ def codec(shared: Broadcast) -> Codec:
     return _CODECS[key]
 
 
+def byte_table(shared: Broadcast) -> ByteTable:
+    """The worker's own table of bytes, made once."""
+    data, _ = shared.value
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _TABLES:
+        _TABLES[key] = ByteTable(data)
+    return _TABLES[key]
+
+
 def vocabulary(df: DataFrame, path: str, pattern: str) -> Broadcast:
     """The rank file, read by the driver; a vocabulary has a fixed size, so it is sent to all executors."""
     with open(path, "rb") as f:
@@ -164,7 +181,7 @@ def encode(df: DataFrame, shared: Broadcast, text: str = "text", ids: str = "ids
                 arrays = [*rows.columns[: len(kept)], pa.array(got, pa.binary())]
                 names = [*kept, ids]
                 if offsets:
-                    spans = [[{"start": int(a), "end": int(b)} for a, b in own.offsets(x)] for x in got]
+                    spans = [[{"start": int(a), "end": int(b)} for a, b in byte_table(shared).offsets(x)] for x in got]
                     arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
                     names.append(offsets)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -179,7 +196,7 @@ def decode(df: DataFrame, shared: Broadcast, ids: str = "ids", decoded: str = "d
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared)
+        own = byte_table(shared)
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
             for part in _slices(sizes, 4 * TEXT_AT_ONCE):

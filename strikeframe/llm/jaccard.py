@@ -38,7 +38,9 @@ from strikeframe.llm.common import has, membership, written
 WIDTH, NUM, DEN = 5, 75, 100
 SKETCH = 1024
 #: Postings that a task packs or unpacks at a time.
-PACKED = 2_000_000
+PACKED = 1_000_000
+#: Pairs that a task remembers so as not to tell them twice; all are made distinct afterwards.
+REMEMBERED = 200_000
 #: A shingle in this share of a portion's nodes is summed beforehand; so many such shingles are kept at most (which
 #: are kept is a matter of speed only: the rest are counted like all others).
 FREQUENT, KEPT = 1 / 200, 500_000
@@ -373,7 +375,7 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
 
         def emitted(found: list) -> pa.RecordBatch:
             new = sorted({p for p in found if p not in seen})
-            if len(seen) < PACKED:
+            if len(seen) < REMEMBERED:
                 seen.update(new)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at a time; a longer text is taken alone, whole.
-BYTES_AT_ONCE = 4_000_000
+#: Bytes and rows of text that are worked on at a time; a longer text is taken alone, whole.
+BYTES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 4096
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,12 +65,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def portions(bounds: np.ndarray, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes; each row is whole."""
+    """Ranges of rows of about ``most`` bytes and at most ROWS_AT_ONCE rows; each row is whole."""
     n, i = len(bounds) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, i + ROWS_AT_ONCE, n)
+        yield i, j
+        i = j
 
 
 def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
