@@ -327,16 +327,31 @@ def stars(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of a list that are in different components and that sizes and sketches allow."""
+    """Pairs of members of a list that are in different components and that sizes and sketches allow.
+
+    The members of a list's most frequent component aren't compared with each other, so they are dealt in blocks by
+    themselves: only the rest, few as a rule, is copied to all of these blocks and compared with itself.
+    """
     placed = lists.select("key", "node", "size", "sketch", "firsts").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = placed.join(mixed.select("key", blocks.alias("blocks")), "key")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1)
-    member = member.select(cell.alias("cell"), "key", "node", "size", "label", "sketch", "firsts", side.alias("side"), (F.col("block") == F.col("other")).alias("alone"))
+    by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n")).alias("rest_blocks"))
+    member = placed.join(mixed, "key").withColumn("in_main", F.col("label") == F.col("main"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+
+    def cell(across_main: bool, rest: Column, other: Column, side: Column, alone: Column) -> Column:
+        return F.struct(F.xxhash64("key", F.lit(across_main), rest, other).alias("cell"), side.alias("side"), alone.alias("alone"))
+
+    rest_blocks, main_blocks = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("rest_blocks", "main_blocks"))
+    block, no = F.col("block"), F.lit(False)
+    of_main = F.transform(rest_blocks, lambda x: cell(True, x, block, F.lit(1), no))
+    of_rest = F.concat(
+        F.transform(main_blocks, lambda x: cell(True, block, x, F.lit(0), no)),
+        F.transform(rest_blocks, lambda x: cell(False, F.least(block, x), F.greatest(block, x), F.when(block <= x, 0).otherwise(1), block == x)),
+    )
+    member = member.withColumn("place", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)))
+    member = member.select("place.cell", "key", "node", "size", "label", "sketch", "firsts", "place.side", "place.alone")
     parts = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
