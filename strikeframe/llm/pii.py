@@ -12,9 +12,14 @@ address bytes stay bytes. Titles are kept, so gender is too.
 
 What a permutation can't promise is checked: ``exceptions`` looks for surrogates that two entities share, that
 equal their own entity or any other entity of the corpus, and gives those entities another turn of the key until
-none is left. It returns only these few entities; texts that hold one are joined to it (small tables are sent to
+none is left. After ``TURNS`` turns each further one also lengthens the surrogate by a character, so forms with too
+few members (two-letter surnames, listed names that all occur) are settled as well. It returns only these few entities; texts that hold one are joined to it (small tables are sent to
 all executors by Spark's own threshold, others are shuffled by the text's digest).
 
+Parts without a character of any class (names of other scripts, secrets of punctuation) get a keyed token of their
+length. A value that is one repeated sign, neither letter nor digit ('password: ********'), is masked already: it is
+no entity and stays.
+
 Defined results: null stays null, empty stays empty; texts without entities are unchanged; repeated rows and ties
 get the same text; an empty table gives an empty table; other columns stay and clashing names are replaced.
 """
@@ -44,7 +49,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Pattern of each kind; where two fit at one place, the earlier holds.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
-    "password": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']{0,1})[^\s\"'=:][^\s\"']{5,}",
+    "password": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']{0,1})(?!(?<mask>[^\p{L}\p{N}\s])\k<mask>*+(?![^\s\"']))[^\s\"'=:][^\s\"']{5,}",
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
@@ -75,6 +80,10 @@ _CLASSES = {
 }
 
 
+#: Turns of the key before surrogates grow.
+TURNS = 20
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)``, the value being computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -99,6 +108,21 @@ def _classes(name: Column) -> Column:
     return out
 
 
+def _exchangeable(text: Column, name: Column) -> Column:
+    """Whether a character of the text has a class."""
+    out = F.lit(False)
+    for key, rows in _CLASSES.items():
+        held = "".join(letters or f"\\x{{{low:x}}}-\\x{{{low + n - 1:x}}}" for low, n, letters in rows)
+        out = F.when(name == key, text.rlike(f"[{held}]")).otherwise(out)
+    return out
+
+
+def _token(text: Column, seed: Column) -> Column:
+    """A keyed token of the text's length, letters only, the first one capital."""
+    digest = F.translate(_digest(seed, text), "0123456789", "ghijklmnop")
+    return F.initcap(F.rpad(digest, F.length(text), digest))
+
+
 def _shift(c: Column, k: Column, classes: Column) -> Column:
     """The character k places on in its class, around its end; a character of no class stays."""
 
@@ -213,24 +237,27 @@ def replacement(norm: Column, of: Column, key: str, turn: Column) -> Column:
     seed = F.concat_ws(":", F.lit(key), of, turn.cast("string"))
     host = F.substring_index(norm, "@", -1)
     top = F.substring_index(host, ".", -1)
+    more = F.greatest(turn - TURNS, F.lit(0)).cast("int")
+    longer = lambda text, with_: F.concat(text, F.repeat(F.lit(with_), more))
     body = F.substring(norm, F.lit(1), F.length(norm) - 1)
     checked = _luhn(body) == F.substring(norm, -1, 1)
     prefix = F.regexp_extract(norm, r"^(?:AKIA|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-)", 0)
     hexes = F.when(norm.rlike("^[0-9a-f:-]+$|^[0-9A-F:-]+$"), "hex").otherwise("any")
     domain = F.substring(host, F.lit(1), F.length(host) - F.length(top) - 1)
     segments = (
-        F.when(of == "email", F.array(_segment(F.substring_index(norm, "@", 1), seed, "any"), _segment(domain, F.concat_ws(":", F.lit(key), F.lit("host"), turn.cast("string")), "any")))
-        .when(of == "card", F.array(_segment(F.when(checked, body).otherwise(norm), seed, "digits")))
-        .when(of.isin("phone", "social"), F.array(_segment(norm, seed, "digits")))
-        .when(of == "account", F.array(_segment(F.substring(norm, F.lit(5), F.length(norm)), seed, "account")))
-        .when(of == "name", F.transform(F.split(norm, " "), lambda w: _segment(w, seed, "spoken")))
+        F.when(of == "email", F.array(_segment(longer(F.substring_index(norm, "@", 1), "0"), seed, "any"), _segment(domain, F.concat_ws(":", F.lit(key), F.lit("host"), turn.cast("string")), "any")))
+        .when(of == "card", F.array(_segment(longer(F.when(checked, body).otherwise(norm), "0"), seed, "digits")))
+        .when(of.isin("phone", "social"), F.array(_segment(longer(norm, "0"), seed, "digits")))
+        .when(of == "account", F.array(_segment(longer(F.substring(norm, F.lit(5), F.length(norm)), "0"), seed, "account")))
+        .when(of == "name", F.transform(F.split(longer(norm, "a"), " "), lambda w: _segment(w, seed, "spoken")))
         .when(of == "ip", F.array().cast("array<struct<text:string,seed:string,name:string>>"))
-        .otherwise(F.array(_segment(F.substring(norm, F.length(prefix) + 1, F.length(norm)), seed, hexes)))
+        .otherwise(F.array(_segment(longer(F.substring(norm, F.length(prefix) + 1, F.length(norm)), "0"), seed, hexes)))
     )
     new = F.transform(
         segments,
         lambda x: F.coalesce(
             F.when(x["name"] == "spoken", _listed(x["text"], x["seed"])),
+            F.when(x["name"].isin("any", "hex", "spoken") & ~_exchangeable(F.substring(x["text"], F.lit(1), F.greatest(F.length(x["text"]) - more, F.lit(1))), x["name"]), _token(x["text"], x["seed"])),
             _let(F.struct(x["text"].alias("text"), x["seed"].alias("seed"), _classes(x["name"]).alias("classes")), _permuted),
         ),
     )
@@ -263,7 +290,7 @@ def _laid_out(match: Column, digits: Column, kept: Column) -> Column:
             lambda s, c: F.when(
                 c.rlike("^[0-9]$"), F.struct(F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
             ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
-            lambda s: s["out"],
+            lambda s: F.concat(s["out"], F.substring(digits, s["at"], F.length(digits))),
         ),
     )
 
@@ -294,10 +321,10 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select("kind", normal(F.col("match"), F.col("kind")).alias("norm")).distinct()
 
 
-def exceptions(found: DataFrame, key: str, most: int = 20) -> DataFrame:
+def exceptions(found: DataFrame, key: str) -> DataFrame:
     """kind, norm and turn of the entities whose first surrogate is not theirs alone."""
     turns = found.withColumn("turn", F.lit(0))
-    for _ in range(most):
+    while True:
         new = turns.withColumn("new", replacement(F.col("norm"), F.col("kind"), key, F.col("turn")))
         # each surrogate's first claimant, entities themselves coming before all claimants
         claims = new.select("kind", F.col("new").alias("value"), "norm", F.lit(1).alias("rank")).unionByName(found.select("kind", F.col("norm").alias("value"), "norm", F.lit(0).alias("rank")))
@@ -305,11 +332,8 @@ def exceptions(found: DataFrame, key: str, most: int = 20) -> DataFrame:
         lost = claims.where("rank = 1").join(shared, ["kind", "value"]).where((F.col("first.rank") == 0) | (F.col("first.norm") != F.col("norm"))).select("kind", "norm").distinct()
         lost = written(lost, "pii-lost")
         if lost.isEmpty():
-            break
+            return turns.where("turn > 0")
         turns = written(turns.join(lost.withColumn("again", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("turn") + F.coalesce("again", F.lit(0))).alias("turn")), "pii-turns")
-    else:
-        raise ValueError(f"surrogates still collide after {most} turns of the key")
-    return turns.where("turn > 0")
 
 
 def surrogates(docs: DataFrame, key: str, text: str = "text", count: str = "n_entities", kinds: str = "entity_kinds") -> DataFrame:
