@@ -46,23 +46,30 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Herrn Señor Señora Señorita Sr Sra
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join(TITLES)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_CARD = r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
+_WORDS = "password|passwd|pwd|secret|token|api_key|apikey|api-key"
+#: What a secret begins with.
+_PREFIX = r"(?:AKIA|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-)"
+#: What a telephone number's writing has before its own digits: the dialling code, or the zero in its place.
+_DIAL = r"^(?:\+\d{1,3}(?=[ ./(-])(?: ?\(0\))?|0(?=\d{1,4}[ ./-])|\(0(?=\d{1,4}\)))"
 #: Pattern of each kind; where two fit at one place, the earlier holds.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
-    "password": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']{0,1})(?!(?<mask>[^\p{L}\p{N}\s])\k<mask>*+(?![^\s\"']))[^\s\"'=:][^\s\"']{5,}",
+    "password": r"(?<=(?i:" + _WORDS + r")\s{0,2}[=:]\s{0,2}[\"']{0,1})(?!(?<mask>[^\p{L}\p{N}\s])\k<mask>*+(?![^\s\"']))[^\s\"'=:][^\s\"']{5,}",
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
     "hardware": r"(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
     "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "phone": r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\+\d{8,14}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+.])(?!" + _CARD + r")(?:\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d{3,4}[ .-]?\d{4}|[ .-]?\d{5,8}|[ .-]?\d{2,4}(?:[ .-]\d{2,8}){1,4})|\+\d{1,3}(?:[ ./-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d{5,12}|\+\d{8,14}"
+    r"|\(\d{2,5}\)[ .-]?(?:\d{3,4}[ .-]?\d{4}|\d{5,8})|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}(?:[ .-]\d{3,4}){2}|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{5,8}(?:-\d{1,4})?|0\d{2,4}[ /]\d{4}(?:-\d{1,4})?)(?![\p{L}\p{N}])",
     "social": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.-])" + _CARD,
     "name": r"(?<!\p{L})(?:(?:" + _TITLE + r")\.? (?:\p{Lu}[\p{Ll}'-]+ ){0,2}\p{Lu}[\p{Ll}'-]+|(?:" + _GIVEN + r") \p{Lu}[\p{Ll}'-]{2,})(?!\p{L})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every entity has one of these; texts without any aren't searched further.
-HINT = r"[0-9@=]|(?<!\p{L})(?:" + _TITLE + "|" + _GIVEN + r")\.? \p{Lu}"
+HINT = r"[0-9@=]|(?i:" + _WORDS + r")\s{0,2}:|" + _PREFIX + r"|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}-[A-Fa-f]{2}-|[A-Fa-f]{1,4}:[A-Fa-f]|(?<!\p{L})(?:" + _TITLE + "|" + _GIVEN + r")\.? \p{Lu}"
 
 _DIGITS = [(0x30, 10, "")]
 _UPPER = [(0x41, 26, "")]
@@ -193,7 +200,7 @@ def normal(match: Column, of: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     return (
         F.when(of == "email", F.lower(match))
-        .when(of == "phone", F.regexp_replace(F.regexp_replace(match, r"^\+\d{1,3}(?=[ .(-])", ""), "[^0-9]", ""))
+        .when(of == "phone", F.regexp_replace(F.regexp_replace(match, _DIAL, ""), "[^0-9]", ""))
         .when(of.isin("card", "social"), digits)
         .when(of == "account", F.regexp_replace(match, " ", ""))
         .when(of.isin("hardware", "ip6"), F.lower(match))
@@ -241,7 +248,7 @@ def replacement(norm: Column, of: Column, key: str, turn: Column) -> Column:
     longer = lambda text, with_: F.concat(text, F.repeat(F.lit(with_), more))
     body = F.substring(norm, F.lit(1), F.length(norm) - 1)
     checked = _luhn(body) == F.substring(norm, -1, 1)
-    prefix = F.regexp_extract(norm, r"^(?:AKIA|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-)", 0)
+    prefix = F.regexp_extract(norm, f"^{_PREFIX}", 0)
     hexes = F.when(norm.rlike("^[0-9a-f:-]+$|^[0-9A-F:-]+$"), "hex").otherwise("any")
     domain = F.substring(host, F.lit(1), F.length(host) - F.length(top) - 1)
     segments = (
@@ -297,7 +304,7 @@ def _laid_out(match: Column, digits: Column, kept: Column) -> Column:
 
 def written_like(match: Column, of: Column, new: Column) -> Column:
     """The surrogate in the writing of the match."""
-    kept = F.when(of == "phone", F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
+    kept = F.when(of == "phone", F.regexp_extract(match, _DIAL, 0)).otherwise("")
     title = F.regexp_extract(match, rf"^(?:{_TITLE})\.? ", 0)
     spaced = F.regexp_replace(new, "(.{4})(?=.)", "$1 ")
     return (

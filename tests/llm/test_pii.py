@@ -1,6 +1,6 @@
 """Planted cases of surrogates."""
 
-import pytest
+import re
 
 from strikeframe.llm import pii
 
@@ -25,3 +25,31 @@ def test_forms_with_too_few_members(spark):
     got = replaced(spark, texts)
     new = [got[t].text for t in texts]
     assert len(set(new)) == len(texts) and not set(new) & set(texts)
+
+#: Texts that hold one entity only, and the part that mustn't stay.
+ALONE = {
+    "email": [("write to ann@example.org", "ann@")],
+    "password": [("password: swordfish", "swordfish"), ("Token : opensesame", "opensesame"), ("pwd=swordfish", "swordfish")],
+    "secret": [("sk_" + "abcdefgh" * 3, "abcdefgh"), ("pk-" + "qrstuvwx" * 3, "qrstuvwx"), ("AKIA" + "ABCDEFGH" * 2, "ABCDEFGH"), ("xoxb-" + "abcdefgh" * 2, "abcdefgh"), ("ghp_" + "abcdefgh" * 4, "abcdefgh"), ("abcdef" * 6, "abcdef" * 6)],
+    "account": [("DE89 3704 0044 0532 0130 00", "3704 0044")],
+    "ip": [("host 192.0.2.17 is up", "192.0.2.17")],
+    "hardware": [("at ab:cd:ef:ab:cd:ef now", "ab:cd:ef:ab"), ("at AB-CD-EF-AB-CD-EF now", "AB-CD-EF-AB")],
+    "ip6": [("at abcd:ef:abcd:ef:abcd:ef:abcd:ef now", "abcd:ef:abcd:ef")],
+    "phone": [("call +49 30 1234567", "1234567"), ("call 030 1234567", "1234567"), ("call +49 (0)30 1234567", "1234567"), ("call 020 7946 0958", "7946 0958"), ("call 01 23 45 67 89", "23 45 67 89"), ("call (030) 123456", "123456"), ("call +1 555-123-4567", "123-4567")],
+    "social": [("number 078-05-1120", "05-1120")],
+    "card": [("card 4111 1111 1111 1111", "1111 1111 1111"), ("card 0123 4567 8901 2345", "4567 8901 2345")],
+    "name": [("Mr Smith", "Smith"), ("Anna Becker", "Becker")],
+}
+NOT_ONE = ["on 01.02.2024 and 05-2024", "0.12345678 of 2024 12345", "a list: of things, 12:30", "no secret in here"]
+
+
+def test_every_kind_alone(spark):
+    assert set(ALONE) == set(pii.KINDS)
+    rows = [(kind, text, part) for kind, cases in ALONE.items() for text, part in cases]
+    got = replaced(spark, [text for _, text, _ in rows] + NOT_ONE)
+    for kind, text, part in rows:
+        assert got[text].entity_kinds == [kind] and got[text].n_entities == 1 and part not in got[text].text, got[text]
+    assert all(got[t].text == t for t in NOT_ONE)
+    # one number in three writings
+    own = {re.sub("[^0-9]", "", got[t].text)[-9:] for t in ("call +49 30 1234567", "call 030 1234567", "call +49 (0)30 1234567")}
+    assert len(own) == 1
