@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their beginnings of three to seven letters. Of a bounded sample of the labelled rows
-(``EXAMPLES`` of each label, by the order of a hash), the ``TERMS`` that the label depends on most are kept; their
-document frequencies come from all documents; all other words of a text are one more term. The examples' vectors form an inverted index, ordered so that alike
-examples are neighbours and cut into blocks, with the largest weight of each term in each block. For a text, blocks
-are visited by falling upper bound until no bound reaches the k-th best cosine: the result is that of a full scan.
+Terms are words and their beginnings of three to seven letters: every term of the examples, a bounded sample of the
+labelled rows (``EXAMPLES`` of each label, by the order of a hash), with the frequencies of all documents. Words that
+no example has are in no vector: they would shorten all cosines of a text alike, and change no neighbour and no score.
+
+The examples' vectors form an inverted index, ordered so that alike examples are neighbours and cut into blocks, with
+the largest weight of each term in each block. For a text, blocks are visited by falling upper bound until no bound
+reaches the k-th best cosine. Within a block the inverted lists of all but the ``FREQUENT`` terms give a part of each
+cosine; the rest is at most the product of both vectors' lengths in the frequent terms, and is worked out where that
+bound reaches the k-th best. Neither bound loses an example: the result is that of a full scan.
 
 The neighbours' labels, weighted by cosine, make a vote; the votes of the examples themselves, each without its
 own, are calibrated by pool-adjacent-violators with the labels' true shares. Neighbours are given as evidence.
@@ -17,23 +21,22 @@ never inputs of a score.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm.common import written
 from strikeframe.llm.quality import rising
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4_096, 15, 2_048
+EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 15, 2_048
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Least examples with a term. Its log-likelihood ratio must be what chance gives the best of all such terms, too.
-LEAST_EXAMPLES = 3
+#: Terms of most examples, whose weights are held in a full matrix.
+FREQUENT = 512
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker keeps.
 WORDS_KEPT = 400_000
@@ -57,130 +60,141 @@ def examples(labels: DataFrame, learn: Column, key: str, label: str, most: int =
 
 
 def vocabulary(sample: DataFrame, text: str) -> list[str]:
-    """The terms that the label depends on most, of at most TERMS."""
+    """Every term of the sample, in order."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        for batch in batches:
+            for t in batch.column(0):
+                words.update(WORD.findall((t.as_py() or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({x for w in words for x in terms_of(w)}), pa.string())], names=["term"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    found = sample.select(F.col(text)).mapInArrow(distinct, "term string").distinct()
+    return sorted(found.toArrow().column(0).to_pylist())  # bounded, as the sample is
 
-        def rows() -> pa.RecordBatch:
-            got = sorted((t, y, n) for (t, y), n in seen.items())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["term", "y", "n"])
 
-        for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen.update((x, y) for x in {x for w in set(WORD.findall((t.as_py() or "").lower())) for x in terms_of(w)})
-                if len(seen) > 1_000_000:
-                    yield rows()
-        yield rows()
-
-    totals = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    if not n1 or not n0:
-        return []
-    found = sample.select(F.col(text), "y").mapInArrow(count, "term string, y int, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b")
-    )
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n1 + n0
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    has, not_ = a + b, F.lit(n) - a - b
-    ratio = 2 * (part(a, has * n1 / n) + part(b, has * n0 / n) + part(n1 - a, not_ * n1 / n) + part(n0 - b, not_ * n0 / n))
-    found = written(found.where((F.col("a") + F.col("b") >= LEAST_EXAMPLES)).withColumn("ratio", ratio), "toxicity-vocabulary")
-    least = 2 * np.log(max(2, found.count()))
-    kept = found.where((F.col("a") >= LEAST_EXAMPLES) & (a / n1 > b / n0) & (F.col("ratio") >= float(least)))
-    return [r.term for r in kept.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
-
-
-def term_counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """doc_id and the numbers and counts of the terms in each whole text; the last number is that of all other words,
-    which only texts with some term have."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+class Counting:
+    """The numbers and counts of a vocabulary's terms in texts."""
+
+    def __init__(self, terms: list[str]):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        hits: list[int] = []
+        for word in WORD.findall((text or "").lower()):
+            got = self.known.get(word)
+            if got is None:
+                if len(self.known) > WORDS_KEPT:
+                    self.known.clear()
+                got = self.known[word] = [self.number[x] for x in terms_of(word) if x in self.number]
+            hits += got
+        return np.unique(np.array(hits, np.int64), return_counts=True)
+
+
+def frequencies(texts: DataFrame, terms: list[str], shared: Broadcast) -> tuple[int, np.ndarray]:
+    """The number of texts, and in how many of them each term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        known: dict[str, tuple[int, ...]] = {}
+        count, total, n = Counting(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            which, often = [], []
-            for t in batch.column(1):
-                total: dict[int, int] = {}
-                others = 0
-                for word in WORD.findall((t.as_py() or "").lower()):
-                    hits = known.get(word)
-                    if hits is None:
-                        hits = known[word] = tuple(number[x] for x in terms_of(word) if x in number)
-                    for i in hits:
-                        total[i] = total.get(i, 0) + 1
-                    others += not hits
-                if total and others:
-                    total[len(number)] = others
-                which.append(list(total))
-                often.append(list(total.values()))
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(which, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+            for t in batch.column(0):
+                total[count(t.as_py())[0]] += 1
+                n += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], names=["term", "n"])
+
+    got = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = np.asarray(got.column(0)), np.asarray(got.column(1))
+    out = np.zeros(len(terms), np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), out
+
+
+Vector = tuple[np.ndarray, np.ndarray]
+#: Where each term's list begins, the rows and the weights.
+Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Index:
     """The examples' inverted lists in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, float]], block: int = BLOCK):
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=-1), ids[i]))
-        self.ids, self.labels = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int64)
-        self.block, self.blocks = block, max(1, -(-len(ids) // block))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((at, w))
-        self.rows = {t: np.array([r for r, _ in x], np.int64) for t, x in lists.items()}
-        self.weights = {t: np.array([w for _, w in x]) for t, x in lists.items()}
-        self.cuts = {t: np.searchsorted(r, np.arange(self.blocks + 1) * block) for t, r in self.rows.items()}
-        self.bounds = {}
-        for t, w in self.weights.items():
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, self.rows[t] // block, w)
-            self.bounds[t] = top
-
-    def nearest(self, vector: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int, int]]:
+    def __init__(self, width: int, frequent: np.ndarray, block: int = BLOCK):
+        self.block, self.blocks = block, 0
+        self.ids, self.labels, self.rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.column = np.full(width, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        self.full: list[np.ndarray] = []
+        self.lists: list[Lists] = []
+        self.bounds = np.zeros((width, 0), np.float32)
+
+    def add(self, ids: list[int], labels: list[int], vectors: list[Vector]) -> None:
+        """The next block: ``block`` examples, the last one as many as are left."""
+        self.ids, self.labels = np.append(self.ids, np.array(ids, np.int64)), np.append(self.labels, np.array(labels, np.int64))
+        width, columns = len(self.column), int(self.column.max(initial=-1)) + 1
+        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        rows = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
+        held = self.column[terms] >= 0
+        full = np.zeros((len(ids), columns))
+        full[rows[held], self.column[terms[held]]] = weights[held]
+        self.full.append(full)
+        self.rest = np.append(self.rest, np.sqrt((full**2).sum(axis=1)))
+        largest = np.zeros(width)
+        np.maximum.at(largest, terms, weights)
+        bounds = np.nextafter(largest.astype(np.float32), np.float32(2))  # rounded up
+        bounds[largest == 0] = 0
+        self.bounds = np.column_stack([self.bounds, bounds])
+        terms, rows, weights = terms[~held], rows[~held], weights[~held]
+        by_term = np.argsort(terms, kind="stable")
+        starts = np.searchsorted(terms[by_term], np.arange(width + 1)).astype(np.int32)
+        self.lists.append((starts, rows[by_term].astype(np.int32 if self.block >= 1 << 15 else np.int16), weights[by_term]))
+        self.blocks += 1
+
+    def nearest(self, vector: Vector, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """The k examples of largest positive cosine: (cosine, id, label)."""
-        terms = sorted(t for t in vector if t in self.rows)
-        if not terms:
+        terms, weights = vector
+        if not len(terms) or not len(self.ids):
             return []
-        bound = np.zeros(self.blocks)
-        for t in terms:
-            bound += vector[t] * self.bounds[t]
+        often = self.column[terms] >= 0
+        q = np.zeros(self.full[0].shape[1])
+        q[self.column[terms[often]]] = weights[often]
+        length = float(np.sqrt((q**2).sum()))
+        few, light = terms[~often], weights[~often]
+        bound = weights @ self.bounds[terms]
         best, at = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable"):
             least = best[-1] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] * (1 + 1e-12) < least:
+            if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
                 break
-            scores = np.zeros(self.block)
-            for t in terms:
-                low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                if low < high:
-                    scores[self.rows[t][low:high] - b * self.block] += vector[t] * self.weights[t][low:high]
-            scores = np.round(scores, 12)
-            if np.count_nonzero(scores) > 2 * k:
-                least = max(least, np.partition(scores, self.block - k - 1)[self.block - k - 1])
-            new = np.flatnonzero((scores > 0) & (scores >= least))
-            best, at = np.concatenate([best, scores[new]]), np.concatenate([at, new + b * self.block])
+            low, size = b * self.block, min(self.block, len(self.ids) - b * self.block)
+            starts, rows, values = self.lists[b]
+            begin = starts[few].astype(np.int64)
+            n = starts[few + 1] - begin
+            places = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            part = np.bincount(rows[places], values[places] * np.repeat(light, n), minlength=size)
+            most = part + length * self.rest[low : low + size] + 1e-9
             if without is not None:
-                other = self.ids[at] != without
-                best, at = best[other], at[other]
+                most[self.ids[low : low + size] == without] = 0
+            if size > k:
+                # the k of largest bound are worked out first: none below their least can be among the k best
+                first = np.argpartition(most, size - k)[size - k :]
+                first = first[most[first] > 0]
+                if len(first) == k:
+                    least = max(least, float((part[first] + self.full[b][first] @ q).min()) - 1e-9)
+            new = np.flatnonzero((most > 0) & (most >= least))
+            scores = np.round(part[new] + self.full[b][new] @ q, 12)
+            new, scores = new[scores > 0], scores[scores > 0]
+            best, at = np.concatenate([best, scores]), np.concatenate([at, new + low])
             order = np.lexsort((self.ids[at], -best))[:k]
             best, at = best[order], at[order]
         return list(zip(best.tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True))
 
 
-def vector(terms: list[int], counts: list[int], weights: np.ndarray) -> dict[int, float]:
+def vector(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
     """TF-IDF of unit length."""
-    raw = {t: (1 + math.log(c)) * float(weights[t]) for t, c in zip(terms, counts, strict=True) if weights[t] > 0}
-    norm = math.sqrt(sum(x * x for x in raw.values()))
-    return {t: x / norm for t, x in raw.items()} if norm else {}
+    raw = (1 + np.log(counts)) * weights[terms]
+    norm = np.sqrt((raw**2).sum())
+    return (terms, raw / norm) if norm else (terms[:0], raw[:0])
 
 
 def vote(neighbours: list[tuple[float, int, int]]) -> float:
@@ -211,39 +225,61 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     # the sample is bounded by its construction, so the texts need no shuffle
     chosen = texts.join(F.broadcast(sample), "doc_id")
     terms = vocabulary(chosen, "text")
-    counted = written(term_counts(docs, terms, key, text), "toxicity-terms")
-    total = counted.count()
-    frequency = np.zeros(len(terms) + 1)
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[r.t] = r["count"]
-    frequency[-1] = total  # every text has other words, though they only count beside a term
+    shared = spark.sparkContext.broadcast(terms)
+    total, frequency = frequencies(texts, terms, shared)
     weights = np.where(frequency > 0, np.log((1 + total) / (1 + frequency)) + 1, 0.0)
-    known = written(counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "weight", "terms", "counts"), "toxicity-known")
-    rows = known.collect()  # bounded, as the sample is
-    index = spark.sparkContext.broadcast((Index([r.doc_id for r in rows], [r.y for r in rows], [vector(r.terms, r.counts, weights) for r in rows]), weights))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counting(shared.value)
+        for batch in batches:
+            got = [count(t.as_py()) for t in batch.column(3)]
+            heaviest = [int(t[np.argmax((1 + np.log(c)) * weights[t])]) if len(t) else -1 for t, c in got]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(heaviest, pa.int32()), *(pa.array([x[i].astype(np.int32) for x in got], pa.list_(pa.int32())) for i in (0, 1))],
+                names=["doc_id", "y", "weight", "heaviest", "terms", "counts"],
+            )
+
+    once = chosen.dropDuplicates(["doc_id"]).select("doc_id", "y", "weight", "text")
+    known = written(once.mapInArrow(counted, "doc_id long, y int, weight double, heaviest int, terms array<int>, counts array<int>"), "toxicity-known")
+
+    def vectors(rows: pa.RecordBatch | pa.Table, w: np.ndarray) -> list[Vector]:
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows["terms"], rows["counts"])]
+        return [vector(t.values.to_numpy().astype(np.int64), c.values.to_numpy(), w) for t, c in zip(*columns, strict=True)]
+
+    # the sample is bounded; its vectors come to the driver a block at a time
+    order = sorted((r.heaviest, r.doc_id) for r in known.select("heaviest", "doc_id").collect())
+    own = Index(len(terms), np.argsort(-frequency, kind="stable")[:FREQUENT])
+    for begin in range(0, len(order), BLOCK):
+        (a, b), (c, d) = order[begin], order[min(begin + BLOCK, len(order)) - 1]
+        after = (F.col("heaviest") > a) | ((F.col("heaviest") == a) & (F.col("doc_id") >= b))
+        before = (F.col("heaviest") < c) | ((F.col("heaviest") == c) & (F.col("doc_id") <= d))
+        rows = known.where(after & before).toArrow().sort_by([("heaviest", "ascending"), ("doc_id", "ascending")])
+        own.add(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), vectors(rows, weights))
+    index = spark.sparkContext.broadcast((own, weights))
+    del own
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = index.value
         for batch in batches:
-            votes = [vote(own.nearest(vector(t, c, w), k, i)) if t else -1.0 for i, t, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "counts")), strict=True)]
+            votes = [vote(own.nearest(v, k, i)) for i, v in zip(batch.column("doc_id").to_pylist(), vectors(batch, w), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y"), batch.column("weight")], names=["vote", "y", "weight"])
 
     parts = max(1, spark.sparkContext.defaultParallelism)
     votes = known.repartition(parts, "doc_id").mapInArrow(voted, "vote double, y int, weight double").collect()
     none, edges, levels = calibration(*(np.array([float(r[i]) for r in votes]) for i in range(3)))
-    if not rows:
+    if not order:
         none = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = index.value
+        (own, w), count = index.value, Counting(shared.value)
         for batch in batches:
             scores, evidence = [], []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                near = own.nearest(vector(t, c, w), k) if t else []
+            for t in batch.column(1):
+                near = own.nearest(vector(*count(t.as_py()), w), k)
                 v = vote(near)
                 scores.append(min(max(float(np.interp(v, edges, levels)) if v >= 0 else none, 0.0), 1.0))
                 evidence.append([{"example": i, "cosine": s, "label": b} for s, i, b in near])
             kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
-    return counted.mapInArrow(run, "doc_id long, score double, evidence array<struct<example:bigint,cosine:double,label:int>>")
+    return texts.mapInArrow(run, "doc_id long, score double, evidence array<struct<example:bigint,cosine:double,label:int>>")
