@@ -74,15 +74,35 @@ def token_lookup(tokens: DataFrame, names: DataFrame, token: str, name: str) ->
 
 
 def fuzzy_top_k(left: DataFrame, right: DataFrame, left_name: str, right_name: str, k: int = 3, least: float = 70.0) -> DataFrame:
-    """The k most similar right names of each left name, among those with the same first word and a length that can
-    reach the least score."""
-    from strikeframe.functions.text import norm_name, token_sort_ratio
-
-    a = left.select(F.col(left_name).alias("l"), norm_name(F.col(left_name)).alias("ln"))
-    b = right.select(F.col(right_name).alias("r"), norm_name(F.col(right_name)).alias("rn"))
-    a, b = (d.withColumn("block", F.substring_index(c, " ", 1)) for d, c in ((a, "ln"), (b, "rn")))
-    short, long = F.least(F.length("ln"), F.length("rn")), F.length("ln") + F.length("rn")
-    pairs = a.join(b, "block").where((F.col("ln") != F.col("rn")) & (200.0 * short >= least * long))
+    """The k most similar right names of each left name, of all that reach the least score (above 0).
+
+    A common subsequence is no longer than what two texts have of each letter, so the letters, numbered by occurrence,
+    are the join keys. A name's rarest letters, so many that a partner can't lack them all, are enough (a prefix
+    filter); a pair is taken at the first of them that both have, and scored if its letters can reach the score.
+    """
+    from strikeframe.functions.text import norm_name, token_sort_ratio, tokens
+
+    def lettered(df: DataFrame, name: str, norm: str) -> DataFrame:
+        named = df.select(F.col(name).alias(norm[0]), norm_name(F.col(name)).alias(norm))
+        letters = F.array_sort(F.filter(F.split(F.array_join(F.array_sort(tokens(F.col(norm))), " "), ""), lambda c: c != ""))
+        return named.withColumn("__all__", F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 1).cast("string"))))
+
+    a, b = lettered(left, left_name, "ln"), lettered(right, right_name, "rn")
+    # a letter's place in the order must only be the same for all names; rare ones first spare pairs
+    often = b.select(F.explode("__all__").alias("letter")).groupBy("letter").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("often"))
+
+    def keyed(df: DataFrame, all_: str, some: str) -> DataFrame:
+        rank = F.transform("__all__", lambda c: F.struct(F.coalesce(F.element_at("often", c), F.lit(0)).alias("n"), c.alias("c")))
+        # least / (200 - least) of a text's length is the shortest that a partner can be
+        need = F.ceil(least / (200.0 - least) * F.size("__all__") - 1e-9)
+        df = df.crossJoin(often).withColumn("__all__", F.transform(F.array_sort(rank), lambda x: x["c"])).drop("often")
+        return df.withColumn(some, F.slice("__all__", F.lit(1), F.greatest(F.size("__all__") - need + 1, F.lit(0)).cast("int"))).withColumnRenamed("__all__", all_)
+
+    a, b = keyed(a, "__la__", "__ls__"), keyed(b, "__ra__", "__rs__")
+    pairs = a.withColumn("__key__", F.explode("__ls__")).join(b.withColumn("__key__", F.explode("__rs__")), "__key__")
+    both = F.size("__la__") + F.size("__ra__")
+    pairs = pairs.where((F.col("ln") != F.col("rn")) & (200.0 * F.least(F.size("__la__"), F.size("__ra__")) >= least * both))
+    pairs = pairs.where((F.get(F.array_intersect("__ls__", "__rs__"), F.lit(0)) == F.col("__key__")) & (200.0 * F.size(F.array_intersect("__la__", "__ra__")) >= least * both))
     scored = pairs.withColumn("score", token_sort_ratio(F.col("ln"), F.col("rn"))).where(F.col("score") >= least)
     w = Window.partitionBy("l").orderBy(F.desc("score"), "rn", "r")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l", "r", "score", "rank")
