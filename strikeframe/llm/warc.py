@@ -10,12 +10,15 @@ reads on beyond the end to finish the last. After a record the next candidate is
 
 Defined results: null payloads count as empty; records with equal payloads of at least ``min_revisit`` bytes have
 one response, that with the smallest id, and the others revisit it (repeated ids revisit nothing else: equal ids
-are each a response); an empty table writes no record; corrupt bytes between members are skipped.
+are each a response); a page without id is a response without one (its record is named by the digest of its payload
+and url) and is read back with a null id; an empty table writes no record; corrupt bytes between members are skipped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -47,15 +50,16 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
     return joined.select("page_id", "uri", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
-def record(page_id: int, uri: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, uri: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, uncompressed. A revisit holds the HTTP headers only, and so the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     uri = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)
+    name = f"urn:page:{page_id}" if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{digest} {uri}").urn
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{name}>",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -88,7 +92,7 @@ def write(pages: DataFrame, path: str, **options) -> None:
                     out.append((data if data[-1] == 0 else data + EMPTY_MEMBER)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    members = with_revisits(pages, **options).where("page_id is not null").mapInArrow(run, "member binary")
+    members = with_revisits(pages, **options).mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
 
 
@@ -162,7 +166,7 @@ def parse(data: bytes) -> dict | None:
     if not data.startswith(b"WARC/"):
         return None
     fields, block = headers(data)
-    number = lambda name: int(x) if (x := fields.get(name, "").rpartition(":")[2].rstrip(">")).lstrip("-").isdigit() else None
+    number = lambda name: int(x[1]) if (x := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
     http, payload = headers(block[: int(fields.get("content-length", 0))])
     kind = fields.get("warc-type", "")
     if kind == "response":
