@@ -406,11 +406,14 @@ def audit_verdict(spark, d):
 
 def _players(spark: SparkSession, d: str) -> DataFrame:
     """A slate of 26 players made of the first customers."""
-    s = t(spark, d, "customer").orderBy("c_custkey").limit(26)
+    return _as_players(t(spark, d, "customer").orderBy("c_custkey").limit(26))
+
+
+def _as_players(s: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     mean = 40.0 + k % 17 * 3
     return s.select(
-        F.lpad(k.cast("string"), 6, "0").alias("player_id"), F.col("c_name").alias("player_name"), F.concat(F.lit("f"), F.floor(k / 2).cast("string")).alias("fight_id"), (6700 + k % 15 * 200).cast("int").alias("salary"),
+        F.when(k < 1_000_000, F.lpad(k.cast("string"), 6, "0")).otherwise(k.cast("string")).alias("player_id"), F.col("c_name").alias("player_name"), F.concat(F.lit("f"), F.floor(k / 2).cast("string")).alias("fight_id"), (6700 + k % 15 * 200).cast("int").alias("salary"),
         mean.alias("proj_mean"), (mean * 0.5).alias("proj_floor"), (mean * 1.6).alias("proj_ceiling"), (mean / 8.0).alias("value"), (0.2 + k % 7 * 0.05).alias("risk"), (0.3 + k % 5 * 0.1).alias("p_win"), (0.1 + k % 4 * 0.1).alias("finish_equity"),
         (5.0 + k % 9 * 4).alias("own_proj"),
     )
@@ -424,7 +427,9 @@ def player_scores(spark, d):
 
 @query()
 def slate_analysis(spark, d):
-    return slate.analysed(_players(spark, d))
+    """All customers, in slates of 26 by key."""
+    players = _as_players(t(spark, d, "customer")).withColumn("slate_id", F.floor(F.col("player_id").cast("long") / 26))
+    return slate.analysed(players, slate="slate_id")
 
 
 @query()
@@ -434,7 +439,7 @@ def optimized_lineups(spark, d):
 
 @query()
 def simulated_points(spark, d):
-    p = _players(spark, d).select(
+    p = _as_players(t(spark, d, "customer")).select(
         "player_id", "p_win", F.col("finish_equity").alias("p_finish"), F.lit(3.5).alias("sig_pm"), F.lit(0.2).alias("td_pm"), F.lit(20.0).alias("ctrl_pm"), F.lit(0.02).alias("kd_pm"), F.lit(0.05).alias("sub_pm"),
         F.lit(False).alias("five_rounds"), F.lit(4000).alias("sims"),
     )
@@ -443,9 +448,9 @@ def simulated_points(spark, d):
 
 @query()
 def trained_model(spark, d):
-    """A logit of open orders by price and line, in a few steps."""
+    """A logit of open orders by price and line, by as many steps as the operator and the reference do."""
     o = t(spark, d, "orders").select(F.array(F.col("o_totalprice") / 100000.0, (F.col("o_custkey") % 10).cast("double")).alias("x"), (F.col("o_orderstatus") == "O").cast("double").alias("y"))
-    w, b = model.train_logit(o, 2, steps=5)
+    w, b = model.train_logit(o, 2)
     return spark.createDataFrame([(w[0], w[1], b)], "w0 double, w1 double, b double")
 
 

@@ -38,15 +38,18 @@ def with_odds(players: DataFrame, odds: DataFrame | None) -> DataFrame:
     return out.withColumn("p_win", D.blend(D.implied_probability(F.col("moneyline")), F.col("p_win")))
 
 
-def analysed(players: DataFrame, total: float = 260.0) -> DataFrame:
-    """Ownership scaled to the total and clamped, tiers, leverage and pivot scores."""
-    sums = players.agg(F.sum("own_proj").alias("own"), *[F.percentile(c, [0.25, 0.5, 0.75, 0.9]).alias(f"p_{c}") for c in ("proj_mean", "proj_ceiling", "proj_floor")]).first()
-    scale = total / sums.own if sums.own else 1.0
+def analysed(players: DataFrame, total: float = 260.0, slate: str | None = None) -> DataFrame:
+    """Ownership scaled to the total and clamped, tiers, leverage and pivot scores; by the key of the slate, if any."""
+    keyed = players.withColumn("__slate__", F.col(slate) if slate else F.lit(0))
+    sums = keyed.groupBy("__slate__").agg(F.sum("own_proj").alias("__own__"), *[F.percentile(c, [0.25, 0.5, 0.75, 0.9]).alias(f"__p_{c}__") for c in ("proj_mean", "proj_ceiling", "proj_floor")])
+    keyed = keyed.withColumn("__k__", F.coalesce(F.col("__slate__").cast("string"), F.lit(""))).drop("__slate__")
+    sums = sums.withColumn("__k__", F.coalesce(F.col("__slate__").cast("string"), F.lit(""))).drop("__slate__")
+    scale = F.when(F.col("__own__") != 0, total / F.col("__own__")).otherwise(1.0)
     raw = F.col("own_proj") * scale
     own = D.clamp(raw, 0.5, 55.0)
-    marks = {c: sums[f"p_{c}"] or [0.0] * 4 for c in ("proj_mean", "proj_ceiling", "proj_floor")}
+    marks = {c: [F.coalesce(F.get(f"__p_{c}__", F.lit(i)), F.lit(0.0)) for i in range(4)] for c in ("proj_mean", "proj_ceiling", "proj_floor")}
     m, c, f = (F.col(x) for x in ("proj_mean", "proj_ceiling", "proj_floor"))
-    rows = players.withColumns(
+    rows = keyed.join(sums, "__k__").withColumns(
         {
             "own_tier": F.when(raw >= 35, "chalk").when(raw >= 22, "popular").when(raw >= 12, "medium").otherwise("low"),
             "risk_tier": F.when(F.col("risk") < 0.27, "low").when(F.col("risk") < 0.33, "medium").otherwise("high"),
@@ -56,7 +59,8 @@ def analysed(players: DataFrame, total: float = 260.0) -> DataFrame:
             "mean_tier": F.when(m >= marks["proj_mean"][2], "top").when(m >= marks["proj_mean"][1], "upper").when(m >= marks["proj_mean"][0], "lower").otherwise("bottom"),
         }
     ).withColumn("own_proj", own)
-    return rows.withColumns({"leverage": D.ownership_leverage(c, m, F.col("value"), F.col("own_proj")), "pivot": D.pivot_score(c, m, F.col("own_proj"))})
+    rows = rows.withColumns({"leverage": D.ownership_leverage(c, m, F.col("value"), F.col("own_proj")), "pivot": D.pivot_score(c, m, F.col("own_proj"))})
+    return rows.drop("__k__", "__own__", *[f"__p_{x}__" for x in marks])
 
 
 def fights(players: DataFrame) -> DataFrame:
