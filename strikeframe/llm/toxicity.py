@@ -264,8 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
             votes = [vote(own.nearest(v, k, i)) for i, v in zip(batch.column("doc_id").to_pylist(), vectors(batch, w), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y"), batch.column("weight")], names=["vote", "y", "weight"])
 
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    votes = known.repartition(parts, "doc_id").mapInArrow(voted, "vote double, y int, weight double").collect()
+    votes = known.mapInArrow(voted, "vote double, y int, weight double").collect()
     none, edges, levels = calibration(*(np.array([float(r[i]) for r in votes]) for i in range(3)))
     if not order:
         none = share
