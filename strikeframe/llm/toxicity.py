@@ -1,50 +1,59 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their beginnings of three to seven letters: every term of the examples, a bounded sample of the
-labelled rows (``EXAMPLES`` of each label, by the order of a hash), with the frequencies of all documents. Words that
-no example has are in no vector: they would shorten all cosines of a text alike, and change no neighbour and no score.
+Terms are words. A vector holds every word that an example has, with (1 + log count) * log(texts / texts with the
+word) and length 1; the frequencies are those of all documents. The examples are a bounded sample of the labelled
+rows (``EXAMPLES`` of each label, by the order of a hash); of examples with equal vectors one stands for all. Words
+that no example has are in no vector: they would shorten all cosines of a text alike, and change no neighbour.
 
-The examples' vectors form an inverted index, ordered so that alike examples are neighbours and cut into blocks, with
-the largest weight of each term in each block. For a text, blocks are visited by falling upper bound until no bound
-reaches the k-th best cosine. Within a block the inverted lists of all but the ``FREQUENT`` terms give a part of each
-cosine; the rest is at most the product of both vectors' lengths in the frequent terms, and is worked out where that
-bound reaches the k-th best. Neither bound loses an example: the result is that of a full scan.
+The index cuts the examples into blocks of ``BLOCK``, alike ones together. All but the ``FREQUENT`` commonest terms
+have inverted lists, which give an exact part of each cosine, a term at a time. What the common terms can add to it
+is bounded in each block by the text's weights times the block's largest ones. Blocks are worked out by falling
+bound, a batch of texts at once, until no bound reaches a text's k-th best cosine: the result is that of a full scan.
 
 The neighbours' labels, weighted by cosine, make a vote; the votes of the examples themselves, each without its
 own, are calibrated by pool-adjacent-violators with the labels' true shares. Neighbours are given as evidence.
 
 Defined results: null and empty texts, and texts without any term, have no neighbours and the score that such
-examples have; repeated rows score alike; equal cosines go to the smaller id; of several labels of one id the
-larger counts; without labels every score is 0; an empty table gives an empty table. Ids and other columns are
-never inputs of a score.
+examples have (without any, the label's share); repeated rows score alike; equal cosines go to the smaller id; of
+several labels of one id the larger counts; without labels every score is 0; an empty table gives an empty table;
+a long text is read in pieces, whole. Ids and other columns are never inputs of a score, and extra ones are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm.common import written
 from strikeframe.llm.quality import rising
 
-EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 15, 2_048
-BEGINNINGS = (3, 4, 5, 6, 7)
-#: Terms of most examples, whose weights are held in a full matrix.
-FREQUENT = 512
+EXAMPLES, NEIGHBOURS = 4_000, 30
+#: Examples in a block of the index, and terms whose weights are held in full.
+BLOCK, FREQUENT = 128, 512
+#: Texts whose cosines are worked out at once, and characters of a text that are cut into words at once.
+TEXTS_AT_ONCE, PIECE = 64, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose terms a worker keeps.
-WORDS_KEPT = 400_000
+_BETWEEN = re.compile(r"[\W\d_]")
+
+Vector = tuple[np.ndarray, np.ndarray]
+Neighbours = tuple[np.ndarray, np.ndarray]
 
 
-def terms_of(word: str) -> list[str]:
-    """A word, marked by its end, and its beginnings."""
-    return [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+def word_counts(text: str | None) -> Counter[str]:
+    """How often a text has each of its words."""
+    text, out, at = text or "", Counter(), 0
+    while at < len(text):
+        gap = _BETWEEN.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = gap.start() if gap else len(text)
+        out.update(WORD.findall(text[at:end].lower()))
+        at = end
+    return out
 
 
 def examples(labels: DataFrame, learn: Column, key: str, label: str, most: int = EXAMPLES) -> tuple[DataFrame, float]:
@@ -59,162 +68,188 @@ def examples(labels: DataFrame, learn: Column, key: str, label: str, most: int =
     return written(parts[0].union(parts[1]), "toxicity-examples"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def vocabulary(sample: DataFrame, text: str) -> list[str]:
-    """Every term of the sample, in order."""
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """doc_id, y, weight, and the words and counts of ``text``."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: set[str] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                words.update(WORD.findall((t.as_py() or "").lower()))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted({x for w in words for x in terms_of(w)}), pa.string())], names=["term"])
+            got = [word_counts(t.as_py()) for t in batch.column(3)]
+            words, counts = pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, counts], names=["doc_id", "y", "weight", "words", "counts"])
+
+    return rows.select("doc_id", "y", "weight", "text").mapInArrow(run, "doc_id long, y int, weight double, words array<string>, counts array<int>")
 
-    found = sample.select(F.col(text)).mapInArrow(distinct, "term string").distinct()
-    return sorted(found.toArrow().column(0).to_pylist())  # bounded, as the sample is
 
+class Vocabulary:
+    """The numbers of the examples' words, and their weights."""
 
-class Counting:
-    """The numbers and counts of a vocabulary's terms in texts."""
+    def __init__(self, words: list[str], weights: np.ndarray | None = None):
+        self.words, self.weights = words, weights
+        self.number: dict[str, int] | None = None
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, list[int]] = {}
+    def counted(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order, and their counts."""
+        if self.number is None:  # made by each worker for itself
+            self.number = {w: i for i, w in enumerate(self.words)}
+        found = [(self.number[w], n) for w, n in counts.items() if w in self.number]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        hits: list[int] = []
-        for word in WORD.findall((text or "").lower()):
-            got = self.known.get(word)
-            if got is None:
-                if len(self.known) > WORDS_KEPT:
-                    self.known.clear()
-                got = self.known[word] = [self.number[x] for x in terms_of(word) if x in self.number]
-            hits += got
-        return np.unique(np.array(hits, np.int64), return_counts=True)
+    def vector(self, counts: dict[str, int]) -> Vector:
+        """TF-IDF of unit length."""
+        terms, n = self.counted(counts)
+        raw = (1 + np.log(n)) * self.weights[terms]
+        norm = np.sqrt((raw**2).sum())
+        return (terms[raw > 0], raw[raw > 0] / norm) if norm else (terms[:0], raw[:0])
 
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "weights": self.weights, "number": None}
 
-def frequencies(texts: DataFrame, terms: list[str], shared: Broadcast) -> tuple[int, np.ndarray]:
-    """The number of texts, and in how many of them each term is."""
+
+def frequencies(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """The number of texts, and in how many of them each term is. Each partition adds up its own vector first."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, n = Counting(shared.value), np.zeros(len(shared.value), np.int64), 0
+        total, n = np.zeros(len(shared.value.words), np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                total[count(t.as_py())[0]] += 1
+                total[shared.value.counted(word_counts(t.as_py()))[0]] += 1
                 n += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], names=["term", "n"])
 
     got = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     at, n = np.asarray(got.column(0)), np.asarray(got.column(1))
-    out = np.zeros(len(terms), np.int64)
+    out = np.zeros(len(vocabulary.words), np.int64)
     out[at[at >= 0]] = n[at >= 0]
     return int(n[at < 0].sum()), out
 
 
-Vector = tuple[np.ndarray, np.ndarray]
-#: Where each term's list begins, the rows and the weights.
-Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
 class Index:
-    """The examples' inverted lists in blocks, with the largest weight of each term in each block."""
+    """The examples in blocks: inverted lists of most terms, and full weights of the frequent ones with their maxima."""
 
-    def __init__(self, width: int, frequent: np.ndarray, block: int = BLOCK):
-        self.block, self.blocks = block, 0
-        self.ids, self.labels, self.rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.column = np.full(width, -1, np.int32)
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[Vector], width: int, frequent: np.ndarray, block: int = BLOCK):
+        self.block, self.column = block, np.full(width, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        self.full: list[np.ndarray] = []
-        self.lists: list[Lists] = []
-        self.bounds = np.zeros((width, 0), np.float32)
-
-    def add(self, ids: list[int], labels: list[int], vectors: list[Vector]) -> None:
-        """The next block: ``block`` examples, the last one as many as are left."""
-        self.ids, self.labels = np.append(self.ids, np.array(ids, np.int64)), np.append(self.labels, np.array(labels, np.int64))
-        width, columns = len(self.column), int(self.column.max(initial=-1)) + 1
-        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
-        rows = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         held = self.column[terms] >= 0
-        full = np.zeros((len(ids), columns))
+        full = np.zeros((len(vectors), len(frequent)))
         full[rows[held], self.column[terms[held]]] = weights[held]
-        self.full.append(full)
-        self.rest = np.append(self.rest, np.sqrt((full**2).sum(axis=1)))
-        largest = np.zeros(width)
-        np.maximum.at(largest, terms, weights)
-        bounds = np.nextafter(largest.astype(np.float32), np.float32(2))  # rounded up
-        bounds[largest == 0] = 0
-        self.bounds = np.column_stack([self.bounds, bounds])
-        terms, rows, weights = terms[~held], rows[~held], weights[~held]
-        by_term = np.argsort(terms, kind="stable")
-        starts = np.searchsorted(terms[by_term], np.arange(width + 1)).astype(np.int32)
-        self.lists.append((starts, rows[by_term].astype(np.int32 if self.block >= 1 << 15 else np.int16), weights[by_term]))
-        self.blocks += 1
-
-    def nearest(self, vector: Vector, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
-        """The k examples of largest positive cosine: (cosine, id, label)."""
-        terms, weights = vector
-        if not len(terms) or not len(self.ids):
-            return []
-        often = self.column[terms] >= 0
-        q = np.zeros(self.full[0].shape[1])
-        q[self.column[terms[often]]] = weights[often]
-        length = float(np.sqrt((q**2).sum()))
-        few, light = terms[~often], weights[~often]
-        bound = weights @ self.bounds[terms]
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            least = best[-1] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] * (1 + 1e-9) < least:
+        # alike examples come together: those whose heaviest frequent term is the same
+        order = np.lexsort((ids, full.argmax(1) if full.size else np.zeros(len(ids))))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.int64)[order]
+        self.blocks = -(-len(order) // block)
+        self.full = np.zeros((self.blocks, block, len(frequent)))
+        self.full.reshape(self.blocks * block, len(frequent))[: len(order)] = full[order]
+        self.tops = self.full.max(1) if self.blocks else np.zeros((0, len(frequent)))
+        terms, rows, weights = terms[~held], place[rows[~held]], weights[~held]
+        by_term = np.lexsort((rows, terms))
+        self.starts = np.searchsorted(terms[by_term], np.arange(width + 1)).astype(np.int64)
+        self.rows, self.weights = rows[by_term].astype(np.int32), weights[by_term]
+
+    def places(self) -> dict[int, int]:
+        return {int(i): k for k, i in enumerate(self.ids)}
+
+    def nearest(self, vectors: list[Vector], k: int, without: list[int] | None = None) -> list[Neighbours]:
+        """Of each vector the k examples of largest positive cosine: places and cosines, best first. ``without`` has a
+        place for each vector that is left out."""
+        n, size = len(self.ids), self.blocks * self.block
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        part, q = np.zeros((len(vectors), size)), np.zeros((len(vectors), self.tops.shape[1]))
+        for i, (terms, weights) in enumerate(vectors):
+            often = self.column[terms] >= 0
+            q[i, self.column[terms[often]]] = weights[often]
+            few, light = terms[~often], weights[~often]
+            begin = self.starts[few]
+            m = self.starts[few + 1] - begin
+            at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            part[i] = np.bincount(self.rows[at], self.weights[at] * np.repeat(light, m), minlength=size)
+        part[:, n:] = -np.inf
+        if without is not None:
+            part[np.arange(len(vectors)), without] = -np.inf
+        in_blocks = part.reshape(len(vectors), self.blocks, self.block)
+        bounds = in_blocks.max(2) + q @ self.tops.T + 1e-9
+        scores = np.full(in_blocks.shape, -np.inf)
+        by_bound = np.argsort(-bounds, axis=1, kind="stable")
+        rank = np.empty_like(by_bound)
+        np.put_along_axis(rank, by_bound, np.arange(self.blocks)[None, :], 1)
+        least = np.zeros(len(vectors))
+        low = 0
+        while low < self.blocks:
+            high = max(1, 4 * low)
+            need = (rank >= low) & (rank < high) & (bounds >= least[:, None]) & (bounds > 0)
+            if not need.any() and (bounds[rank >= low].size == 0 or not ((rank >= low) & (bounds >= least[:, None]) & (bounds > 0)).any()):
                 break
-            low, size = b * self.block, min(self.block, len(self.ids) - b * self.block)
-            starts, rows, values = self.lists[b]
-            begin = starts[few].astype(np.int64)
-            n = starts[few + 1] - begin
-            places = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            part = np.bincount(rows[places], values[places] * np.repeat(light, n), minlength=size)
-            most = part + length * self.rest[low : low + size] + 1e-9
-            if without is not None:
-                most[self.ids[low : low + size] == without] = 0
+            for b in np.flatnonzero(need.any(0)):
+                who = np.flatnonzero(need[:, b])
+                scores[who, b] = in_blocks[who, b] + q[who] @ self.full[b].T
             if size > k:
-                # the k of largest bound are worked out first: none below their least can be among the k best
-                first = np.argpartition(most, size - k)[size - k :]
-                first = first[most[first] > 0]
-                if len(first) == k:
-                    least = max(least, float((part[first] + self.full[b][first] @ q).min()) - 1e-9)
-            new = np.flatnonzero((most > 0) & (most >= least))
-            scores = np.round(part[new] + self.full[b][new] @ q, 12)
-            new, scores = new[scores > 0], scores[scores > 0]
-            best, at = np.concatenate([best, scores]), np.concatenate([at, new + low])
-            order = np.lexsort((self.ids[at], -best))[:k]
-            best, at = best[order], at[order]
-        return list(zip(best.tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True))
-
-
-def vector(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Vector:
-    """TF-IDF of unit length."""
-    raw = (1 + np.log(counts)) * weights[terms]
-    norm = np.sqrt((raw**2).sum())
-    return (terms, raw / norm) if norm else (terms[:0], raw[:0])
-
-
-def vote(neighbours: list[tuple[float, int, int]]) -> float:
-    """The share of label 1 by cosine; -1 without neighbours."""
-    total = sum(s for s, _, _ in neighbours)
-    return sum(s * y for s, _, y in neighbours) / total if total else -1.0
-
-
-def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+                least = np.maximum(least, np.partition(scores.reshape(len(vectors), size), size - k, axis=1)[:, size - k] - 1e-9)
+            low = high
+        out = []
+        for row in np.round(scores.reshape(len(vectors), size), 12):
+            at = np.flatnonzero(row > 0)
+            if len(at) > k:
+                at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+            at = at[np.lexsort((self.ids[at], -row[at]))][:k]
+            out.append((at, row[at]))
+        return out
+
+    def vote(self, near: Neighbours) -> float:
+        """The share of label 1 by cosine; -1 without neighbours."""
+        at, cosines = near
+        return float((cosines * self.labels[at]).sum() / cosines.sum()) if len(at) else -1.0
+
+
+def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, share: float) -> tuple[float, np.ndarray, np.ndarray]:
     """The score without neighbours, and the edges and levels of a rising function of the vote."""
-
-    def share(chosen: np.ndarray) -> float:
-        return float((labels * weights)[chosen].sum() / weights[chosen].sum()) if weights[chosen].sum() else 0.0
-
     some = votes >= 0
+    none = float((labels * weights)[~some].sum() / weights[~some].sum()) if (~some).any() else share
     if not some.any():
-        return share(~some), np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    bins, inverse = np.unique(np.round(votes[some], 3), return_inverse=True)
+        return none, np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    bins, inverse = np.unique(np.round(votes[some], 2), return_inverse=True)
     mass = np.bincount(inverse, weights[some])
-    return share(~some), *rising(bins, np.bincount(inverse, (labels * weights)[some]) / mass, mass)
+    return none, *rising(bins, np.bincount(inverse, (labels * weights)[some]) / mass, mass)
+
+
+def index_of(known: pa.Table, texts: DataFrame) -> tuple[Vocabulary, Index, dict[int, float]]:
+    """Vocabulary and index of the examples, and the rows that each id stands for."""
+    words = known["words"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    vocabulary = Vocabulary(coded.dictionary.to_pylist())
+    total, frequency = frequencies(texts, vocabulary)
+    vocabulary.weights = np.where(frequency > 0, np.log((1 + total) / (1 + frequency)), 0.0)
+    codes, counts = np.asarray(coded.indices, dtype=np.int64), np.asarray(known["counts"].combine_chunks().flatten(), dtype=np.int64)
+    bounds = np.cumsum(np.append(0, np.asarray(words.value_lengths(), dtype=np.int64)))
+    ids, y, weight = (np.asarray(known[c]) for c in ("doc_id", "y", "weight"))
+    chosen: dict[tuple[bytes, bytes, int], int] = {}
+    vectors, stands = [], {}
+    kept = []
+    for r in np.argsort(ids, kind="stable"):
+        terms, n = codes[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
+        order = np.argsort(terms)
+        terms, n = terms[order], n[order]
+        same = chosen.setdefault((terms.tobytes(), n.tobytes(), int(y[r])), int(ids[r]))
+        stands[same] = stands.get(same, 0.0) + float(weight[r])
+        if same == ids[r]:
+            raw = (1 + np.log(n)) * vocabulary.weights[terms]
+            norm = np.sqrt((raw**2).sum()) or 1.0
+            vectors.append((terms[raw > 0], raw[raw > 0] / norm))
+            kept.append(r)
+    often = np.bincount(codes, minlength=len(vocabulary.words))
+    index = Index(ids[kept], y[kept], vectors, len(vocabulary.words), np.argsort(-often, kind="stable")[:FREQUENT])
+    return vocabulary, index, stands
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", k: int = NEIGHBOURS) -> DataFrame:
@@ -222,63 +257,40 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     spark = docs.sparkSession
     sample, share = examples(labels, learn, key, label)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # the sample is bounded by its construction, so the texts need no shuffle
-    chosen = texts.join(F.broadcast(sample), "doc_id")
-    terms = vocabulary(chosen, "text")
-    shared = spark.sparkContext.broadcast(terms)
-    total, frequency = frequencies(texts, terms, shared)
-    weights = np.where(frequency > 0, np.log((1 + total) / (1 + frequency)) + 1, 0.0)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counting(shared.value)
-        for batch in batches:
-            got = [count(t.as_py()) for t in batch.column(3)]
-            heaviest = [int(t[np.argmax((1 + np.log(c)) * weights[t])]) if len(t) else -1 for t, c in got]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(heaviest, pa.int32()), *(pa.array([x[i].astype(np.int32) for x in got], pa.list_(pa.int32())) for i in (0, 1))],
-                names=["doc_id", "y", "weight", "heaviest", "terms", "counts"],
-            )
-
-    once = chosen.dropDuplicates(["doc_id"]).select("doc_id", "y", "weight", "text")
-    known = written(once.mapInArrow(counted, "doc_id long, y int, weight double, heaviest int, terms array<int>, counts array<int>"), "toxicity-known")
-
-    def vectors(rows: pa.RecordBatch | pa.Table, w: np.ndarray) -> list[Vector]:
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows["terms"], rows["counts"])]
-        return [vector(t.values.to_numpy().astype(np.int64), c.values.to_numpy(), w) for t, c in zip(*columns, strict=True)]
-
-    # the sample is bounded; its vectors come to the driver a block at a time
-    order = sorted((r.heaviest, r.doc_id) for r in known.select("heaviest", "doc_id").collect())
-    own = Index(len(terms), np.argsort(-frequency, kind="stable")[:FREQUENT])
-    for begin in range(0, len(order), BLOCK):
-        (a, b), (c, d) = order[begin], order[min(begin + BLOCK, len(order)) - 1]
-        after = (F.col("heaviest") > a) | ((F.col("heaviest") == a) & (F.col("doc_id") >= b))
-        before = (F.col("heaviest") < c) | ((F.col("heaviest") == c) & (F.col("doc_id") <= d))
-        rows = known.where(after & before).toArrow().sort_by([("heaviest", "ascending"), ("doc_id", "ascending")])
-        own.add(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), vectors(rows, weights))
-    index = spark.sparkContext.broadcast((own, weights))
-    del own
+    # the sample is bounded by its construction, so the texts need no shuffle; of rows that share an id one is the example
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "weight").agg(F.min("text").alias("text"))
+    known = written(with_words(chosen), "toxicity-known")
+    vocabulary, index, stands = index_of(known.toArrow(), texts)
+    shared = spark.sparkContext.broadcast((vocabulary, index))
+    some = len(index.ids)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = index.value
+        words, own = shared.value
+        places = own.places()
         for batch in batches:
-            votes = [vote(own.nearest(v, k, i)) for i, v in zip(batch.column("doc_id").to_pylist(), vectors(batch, w), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y"), batch.column("weight")], names=["vote", "y", "weight"])
+            for begin in range(0, len(batch), TEXTS_AT_ONCE):
+                rows = [r for r in batch.slice(begin, TEXTS_AT_ONCE).to_pylist() if r["doc_id"] in places]
+                vectors = [words.vector(dict(zip(r["words"], r["counts"], strict=True))) for r in rows]
+                near = own.nearest(vectors, k, [places[r["doc_id"]] for r in rows]) if rows else []
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(map(own.vote, near), pa.float64()), pa.array([r["y"] for r in rows], pa.int32())], names=["doc_id", "vote", "y"])
 
-    votes = known.mapInArrow(voted, "vote double, y int, weight double").collect()
-    none, edges, levels = calibration(*(np.array([float(r[i]) for r in votes]) for i in range(3)))
-    if not order:
-        none = share
+    parts = max(1, min(-(-some // 256), 4 * spark.sparkContext.defaultParallelism))
+    votes = known.repartition(parts).mapInArrow(voted, "doc_id long, vote double, y int").collect() if some else []
+    none, edges, levels = calibration(np.array([r.vote for r in votes]), np.array([float(r.y) for r in votes]), np.array([stands[r.doc_id] for r in votes]), share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, w), count = index.value, Counting(shared.value)
+        words, own = shared.value
         for batch in batches:
-            scores, evidence = [], []
-            for t in batch.column(1):
-                near = own.nearest(vector(*count(t.as_py()), w), k)
-                v = vote(near)
-                scores.append(min(max(float(np.interp(v, edges, levels)) if v >= 0 else none, 0.0), 1.0))
-                evidence.append([{"example": i, "cosine": s, "label": b} for s, i, b in near])
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            for begin in range(0, len(batch), TEXTS_AT_ONCE):
+                rows = batch.slice(begin, TEXTS_AT_ONCE)
+                near = own.nearest([words.vector(word_counts(t.as_py())) for t in rows.column(1)], k)
+                votes = np.array([own.vote(x) for x in near])
+                scores = np.where(votes >= 0, np.interp(votes, edges, levels), none).clip(0, 1).round(9)
+                at = np.concatenate([x for x, _ in near])
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(own.ids[at]), pa.array(np.concatenate([c for _, c in near])), pa.array(own.labels[at].astype(np.int32))], names=["example", "cosine", "label"]
+                )
+                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x, _ in near)]), pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores), evidence], names=["doc_id", "score", "evidence"])
 
     return texts.mapInArrow(run, "doc_id long, score double, evidence array<struct<example:bigint,cosine:double,label:int>>")
