@@ -35,14 +35,46 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
+#: Bytes of an Arrow batch, where the session doesn't say otherwise: texts are long, and a worker holds a batch several times.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound of its own below Spark's."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def written(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors.
+
+    The shuffle files of the query that made it go when it is written. The table's path is added to ``scratch``, if
+    given, for ``discard``.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that no frame in use is read from."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -53,31 +85,45 @@ def crc_fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-#: Bits of a membership filter; its size is the same however many keys it holds.
-FILTER_BITS = 1 << 25
+#: Bits of a membership filter for each key, at least and at most: 32 MB at most, however many keys it holds.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 28
+#: Parts that a filter is made in.
+SLICES = 64
 
 
-def filter_places(keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.view(np.uint64).copy()) % np.uint64(bits)).astype(np.int64)
 
 
-def membership(keys: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
-    """Bits for a column of 64-bit keys, for sparing rows that surely have none of them a shuffle. No key is missed."""
+def membership(keys: DataFrame) -> Broadcast:
+    """Bits for a column of 64-bit keys, for sparing rows that surely have none of them a shuffle. No key is missed.
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
-        for batch in batches:
-            field[filter_places(np.asarray(batch.column(0)), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["field"])
+    Keys are dealt by their place among the bits, so that each task marks parts of its own.
+    """
+    small_batches(keys.sparkSession)
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+    width = bits // SLICES
 
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits // 8, np.uint8)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                field |= np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], names=["field"])
+            at = filter_places(np.asarray(batch.column(0)), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], names=["slice", "at"])
 
-    field = keys.coalesce(16).mapInArrow(marked, "field binary").coalesce(1).mapInArrow(either, "field binary").first()[0]
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slices, at = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for k in np.unique(slices):
+                fields.setdefault(int(k), np.zeros(width, bool))[at[slices == k]] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*fields], pa.int32()), pa.array([np.packbits(f).tobytes() for f in fields.values()], pa.binary())], names=["slice", "field"]
+        )
+
+    parts = keys.mapInArrow(placed, "slice int, at int").repartition(SLICES, "slice").mapInArrow(marked, "slice int, field binary")
+    field = bytearray(bits // 8)
+    for r in parts.collect():  # no more than MOST_BITS in all
+        field[r.slice * width // 8 : (r.slice + 1) * width // 8] = r.field
     return keys.sparkSession.sparkContext.broadcast(bytes(field))
 
 

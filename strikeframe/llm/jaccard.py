@@ -2,8 +2,9 @@
 
 Every text becomes its set of hashed word shingles; equal sets are one node. Nodes with Jaccard similarity of at
 least ``num / den`` share a shingle within their first size - need + 1 shingles, need = ceil(num * size / den),
-in any order that all share; and two within one more. The order is by exact document frequency, so that a node
-whose own shingles fill that prefix has nothing to look up.
+in any order that all share; and two within one more. The order is by document frequency (of shingles frequent in
+portions of the text: the sum over those portions), so that a node whose own shingles fill that prefix has nothing to
+look up.
 
 * ``node_table`` reads the texts once: size, set digest and a 1024-bit parity sketch, whose Hamming distance never
   exceeds the symmetric difference and so rules pairs out but never in.
@@ -12,14 +13,15 @@ whose own shingles fill that prefix has nothing to look up.
   random, so none of them gathers in a task.
 * Small sets enumerate the pairs (subsets of two) of their longer prefix; large sets, and the small ones near them
   in size, are put on inverted lists of their prefix. The boundary in size is where the sum of both costs is least.
-* Stars first: each list's members are compared with its most typical member only, which is linear. What links is
-  merged; then only members of different components on a list are compared, in blocks of bounded size. A link
+* Stars first: each list's members are compared with its most typical member only, which is linear (a long list is
+  dealt in parts, whose centres are compared in turn). What links is merged; then only members of different components on a list are compared, in blocks of bounded size. A link
   inside a component changes no component, so none is lost that matters.
 * Comparisons are exact, over the whole sets of the texts concerned.
 
 Defined results: null and empty texts and texts without words have no shingles, no node, and are their own
 component; a text of fewer words than the width has one shingle, the whole; repeated rows each get a row; rows that
-share an id keep their own sets; ties in the order go to the smaller hash; an empty table gives an empty table.
+share an id keep their own sets; ties in the order go to the smaller hash; an empty table gives an empty table;
+extra columns are ignored by ``join``, whatever their names, and kept by ``one_of_each``; a text is hashed whole.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm import textvec as V
-from strikeframe.llm.common import has, membership, written
+from strikeframe.llm.common import discard, has, membership, written
 
 WIDTH, NUM, DEN = 5, 75, 100
 SKETCH = 1024
@@ -44,8 +46,8 @@ REMEMBERED = 200_000
 #: A shingle in this share of a portion's nodes is summed beforehand; so many such shingles are kept at most (which
 #: are kept is a matter of speed only: the rest are counted like all others).
 FREQUENT, KEPT = 1 / 200, 500_000
-#: Members of a list that are compared with each other in one block.
-BLOCK = 512
+#: Members of a list that are compared with each other in one block, and about as many that one task leads.
+BLOCK, DEALT = 512, 4096
 #: A member's least keys, by which a pair is told only by the first list that holds both, if that is among them (a
 #: list that holds nodes of two components is compared, so that first list surely is).
 FIRST_KEYS = 8
@@ -274,11 +276,20 @@ def _by_node(bucket: int, shingles: np.ndarray, nodes: np.ndarray, counts: np.nd
     return _blob(bucket, True, shingles, at, used, counts)
 
 
+#: What comparing with one more member of a list costs, in postings; a list's main component costs no more than a block.
+COMPARED = 1 / 256
+
+
 def boundary(prefix: DataFrame) -> int:
-    """The size up to which enumerating pairs is cheaper than scanning lists, by the sums over a few size classes."""
+    """The size up to which enumerating pairs is cheaper than scanning lists.
+
+    A pair costs the posting that it writes; a place on a list costs its posting and what comparing with the list's
+    members costs. The costs are summed over size classes, and the classes from the smallest on are light as long as
+    that lowers the sum.
+    """
     step = F.ceil(F.log2("size") * 4)
     pairs = F.size("shingles") * (F.size("shingles") - 1) / 2
-    scans = F.aggregate(F.slice("counts", F.lit(1), F.greatest(F.lit(1), F.col("short"))), F.lit(0.0), lambda s, n: s + n)
+    scans = F.aggregate(F.slice("counts", F.lit(1), F.col("short").cast("int")), F.lit(0.0), lambda s, n: s + 1.0 + F.least(n, F.lit(BLOCK)) * COMPARED)
     classes = prefix.groupBy(step.alias("step")).agg(F.max("size"), F.sum(pairs), F.sum(scans)).orderBy("step").collect()
     best, at = 0.0, 0
     so_far = 0.0
@@ -289,24 +300,34 @@ def boundary(prefix: DataFrame) -> int:
     return at
 
 
-def postings(prefix: DataFrame, most_light: int, num: int, den: int) -> DataFrame:
-    """key, node, size, own, sketch and the node's first keys: pairs of small sets, lists of large ones and of small
-    ones near them."""
+def keyed(prefix: DataFrame, most_light: int, num: int, den: int) -> DataFrame:
+    """node, size, share (of own shingles), sketch, the node's keys in order with a bound of each one's frequency, and
+    the first of the keys: pairs of small sets, lists of large ones and of small ones near them."""
     light = F.col("size") <= most_light
     n = F.size("shingles")
+    count = lambda i: F.element_at("counts", i)
+    entry = lambda key, often: F.struct(key.alias("key"), often.alias("n"))
     pairs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n - 1),
-            lambda i: F.transform(F.slice("shingles", i + 1, n - i), lambda y: F.xxhash64(F.element_at("shingles", i), y, F.lit("pair"))),
+            lambda i: F.transform(
+                F.slice("shingles", i + 1, n - i), lambda y, j: entry(F.xxhash64(F.element_at("shingles", i), y, F.lit("pair")), F.least(count(i), count(i + j + 1)))
+            ),
         )
     )
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<struct<key:bigint,n:bigint>>")
     near = F.col("size") * den >= F.lit(num * (most_light + 1))
-    lists = F.when(~light | near, F.slice("shingles", F.lit(1), F.col("short"))).otherwise(none)
-    keys = F.array_distinct(F.concat(F.when(light & (n > 1), pairs).otherwise(none), lists))
-    found = prefix.select(F.array_sort(keys).alias("keys"), "node", "size", "own", "sketch")
-    firsts = F.slice(F.concat("keys", F.array_repeat(F.lit(2**63 - 1), FIRST_KEYS)), 1, FIRST_KEYS)
-    return found.select(F.explode("keys").alias("key"), "node", "size", "own", "sketch", firsts.alias("firsts"))
+    short = F.col("short").cast("int")
+    listed = F.zip_with(F.slice("shingles", F.lit(1), short), F.slice("counts", F.lit(1), short), entry)
+    keys = F.concat(F.when(light & (n > 1), pairs).otherwise(none), F.when(~light | near, listed).otherwise(none))
+    found = prefix.select(F.array_sort(keys).alias("keys"), "node", "size", (F.col("own") / F.col("size")).cast("float").alias("share"), "sketch")
+    firsts = F.slice(F.concat("keys.key", F.array_repeat(F.lit(2**63 - 1), FIRST_KEYS)), 1, FIRST_KEYS)
+    return found.where(F.size("keys") > 0).withColumn("firsts", firsts)
+
+
+def lists(keys: DataFrame) -> DataFrame:
+    """key, node, share, and how many parts a list as frequent as the key is dealt in."""
+    return keys.select("node", "share", F.inline("keys")).select("key", "node", "share", F.ceil(F.col("n") / DEALT).cast("int").alias("parts"))
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -316,28 +337,68 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (apart * (den + num) <= (small + large) * (den - num))
 
 
-def stars(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each member and the most typical member of its list: the one with the least share of own shingles."""
-    member = F.struct("node", "size", "sketch")
-    centre = lists.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"))).alias("c"), F.count("*").alias("n")).where("n > 1")
-    pairs = lists.select("key", "node").join(centre.select("key", F.col("c.node").alias("centre")), "key").where("node <> centre").select("node", "centre").distinct()
-    about = lists.groupBy("node").agg(F.first(member).alias("m"))
+def led(members: DataFrame) -> DataFrame:
+    """node and centre of each member of a part of a list, and, of parts of long lists, the centre's own row with its
+    key (and a null centre): one pass over the lists in order, so no list is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int] | None = None
+        for batch in batches:
+            key, part, node, share, parts = (np.asarray(c) for c in batch.columns)
+            if not len(key):
+                continue
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            carried = last is not None and last[:2] == (key[0], part[0])
+            fresh[0] = not carried
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+            centre = node[at]
+            if carried:
+                centre[: int(np.argmax(fresh)) if fresh.any() else len(key)] = last[2]
+            last = (int(key[-1]), int(part[-1]), int(centre[-1]))
+            pair, head = np.flatnonzero(node != centre), np.flatnonzero(fresh & (parts > 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([node[pair], node[head]])),
+                    pa.array(np.concatenate([centre[pair], np.zeros(len(head), np.int64)]), mask=np.arange(len(pair) + len(head)) >= len(pair)),
+                    pa.array(np.concatenate([np.zeros(len(pair), np.int64), key[head]])),
+                    pa.array(np.concatenate([np.zeros(len(pair), np.float32), share[head]])),
+                ],
+                names=["node", "centre", "key", "share"],
+            )
+
+    dealt = members.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "share", "parts")
+    spread = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(spread, "key", "part").sortWithinPartitions("key", "part", "share", "node").mapInArrow(run, "node long, centre long, key long, share float")
+
+
+def stars(keys: DataFrame, num: int, den: int, scratch: list[str]) -> DataFrame:
+    """Pairs of each member and the most typical member of its list: the one with the least share of own shingles.
+
+    A long list is dealt in parts with a centre each, and the parts' centres are compared with the first of them.
+    """
+    first = written(led(lists(keys)), "jaccard-centres", scratch)
+    heads = first.where("centre is null").select("key", "node", "share", F.lit(1).alias("parts"))
+    pairs = first.where("centre is not null").select("node", "centre").union(led(heads).where("centre is not null").select("node", "centre")).distinct()
+    about = keys.select("node", F.struct("size", "sketch").alias("m"))
     both = pairs.join(about.select("node", F.col("m").alias("x")), "node").join(about.select(F.col("node").alias("centre"), F.col("m").alias("y")), "centre")
     return both.where(may_link("x", "y", num, den)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame:
+def across(keys: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members of a list that are in different components and that sizes and sketches allow.
 
     The members of a list's most frequent component aren't compared with each other, so they are dealt in blocks by
     themselves: only the rest, few as a rule, is copied to all of these blocks and compared with itself.
     """
-    placed = lists.select("key", "node", "size", "sketch", "firsts").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = keys.join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = labelled.select("node", "label", F.explode("keys.key").alias("key"))
     by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n")).alias("rest_blocks"))
-    member = placed.join(mixed, "key").withColumn("in_main", F.col("label") == F.col("main"))
+    about = labelled.select("node", "size", "sketch", "firsts")
+    member = placed.join(mixed, "key").join(about, "node").withColumn("in_main", F.col("label") == F.col("main"))
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
 
     def cell(across_main: bool, rest: Column, other: Column, side: Column, alone: Column) -> Column:
@@ -352,7 +413,7 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
     )
     member = member.withColumn("place", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)))
     member = member.select("place.cell", "key", "node", "size", "label", "sketch", "firsts", "place.side", "place.alone")
-    parts = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -408,7 +469,7 @@ def across(lists: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame
     return member.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int, scratch: list[str]) -> DataFrame:
     """The pairs whose sets are similar enough, by comparing them whole."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     shared = membership(ends)  # texts that surely aren't concerned go no further
@@ -425,7 +486,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int,
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([values[end[k] - size[k] : end[k]].tobytes() for k in at], pa.binary())], names=["node", "hashes"])
 
     found = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(sets, "node long, hashes binary")
-    found = written(found.join(ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    found = written(found.join(ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets", scratch)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -440,9 +501,9 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int,
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def components(links: DataFrame, scratch: list[str], label: str = "components") -> DataFrame:
     """node and label (the smallest node that links reach), by large stars and small stars in turn."""
-    edges = written(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), label)
+    edges = written(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), label, scratch)
     before = None
     while True:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
@@ -450,7 +511,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("x"), F.explode(F.array("lo", "hi")).alias("hi")).where("x <> hi").select(F.col("x").alias("lo"), "hi")
-        edges = written(small.distinct(), label)
+        edges = written(small.distinct(), label, scratch)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())
@@ -459,16 +520,20 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row."""
+    scratch: list[str] = []
     info = written(node_table(docs, key, text, width), "jaccard-nodes")
-    prefix = written(prefixes(docs, info, text, width, num, den), "jaccard-prefixes")
-    lists = written(postings(prefix, boundary(prefix), num, den), "jaccard-lists")
-    first = written(verified(written(stars(lists, num, den), "jaccard-stars"), docs, text, width, num, den), "jaccard-links")
-    merged = written(components(first), "jaccard-merged")
-    second = verified(written(across(lists, merged, num, den), "jaccard-across"), docs, text, width, num, den)
-    labels = components(first.union(second))
+    prefix = written(prefixes(docs, info, text, width, num, den), "jaccard-prefixes", scratch)
+    keys = written(keyed(prefix, boundary(prefix), num, den), "jaccard-keys", scratch)
+    near = written(stars(keys, num, den, scratch), "jaccard-stars", scratch)
+    first = written(verified(near, docs, text, width, num, den, scratch), "jaccard-links", scratch)
+    merged = written(components(first, scratch), "jaccard-merged", scratch)
+    rest = written(across(keys, merged, num, den), "jaccard-across", scratch)
+    second = written(verified(rest, docs, text, width, num, den, scratch), "jaccard-links", scratch)
+    labels = components(first.union(second), scratch)
     rows = info.where("kind = 0").select("doc_id", "size", "node")
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = written(ids, "jaccard-ids")
+    discard(docs.sparkSession, scratch)  # only info and ids are read from here on
     final = ids.select("node", "label").join(ids.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return rows.join(final, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

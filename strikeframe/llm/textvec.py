@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes and rows of text that are worked on at a time; a longer text is taken alone, whole.
-BYTES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 4096
+BYTES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 2048
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

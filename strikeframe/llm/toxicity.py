@@ -68,11 +68,6 @@ def examples(labels: DataFrame, learn: Column, key: str, label: str, most: int =
     return written(parts[0].union(parts[1]), "toxicity-examples"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    bounds = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
-
-
 def with_words(rows: DataFrame) -> DataFrame:
     """doc_id, y, weight, and the words and counts of ``text``."""
 
