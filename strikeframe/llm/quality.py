@@ -3,11 +3,12 @@
 Statistics of each text's form go through random cosines, whose inner products approximate a Gaussian kernel.
 Every partition adds up its part of the normal equations, per fold of the labelled rows; the sums, of fixed size,
 give the ridge weights of all rows and, left-one-fold-out, scores that the rows' own labels have not shaped. On
-those, pool-adjacent-violators fits a rising step function from score to probability.
+those, pool-adjacent-violators fits levels that rise with the score; between the blocks' means it is read linearly.
 
 Defined results: a null text counts as empty and has statistics like any other; repeated rows score alike; of
 several labels of one key the mean counts; without labelled rows every score is the given prior; empty tables give
-empty tables. Keys and other columns are never inputs of a score.
+empty tables; a text's statistics are those of the whole text. Keys and other columns are never inputs of a score;
+``classify`` ignores them, whatever their names, and ``accepted`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ STATISTICS = (
 )
 FEATURES = 256
 FOLDS = 5
+#: Bands of rows that each fold's equations are added up in.
+BANDS = 4
 RIDGE = 1.0
 SEED = 20
 #: Widest part of a Gaussian kernel, in standard deviations of the statistics times their number's root.
@@ -73,12 +76,21 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     distinct_pairs = V.row_counts(pair_rows, n) / np.maximum(count - 1, 1)
     ls, le, lr = V.words(data, bounds, V.NEWLINE)
     lines = np.maximum(V.row_counts(lr, n), 1).astype(float)
-    line_codes, line_rows = V.distinct_in_rows(V.word_hashes(data, ls, le), lr)
+    line_codes = V.word_hashes(data, ls, le)
+    order = np.lexsort((line_codes, lr))
+    line_codes, line_rows = line_codes[order], lr[order]
+    new_line = np.ones(len(line_codes), bool)
+    new_line[1:] = (line_codes[1:] != line_codes[:-1]) | (line_rows[1:] != line_rows[:-1])
+    line_at = np.flatnonzero(new_line)
+    line_runs = np.diff(np.append(line_at, len(line_codes)))
+    in_repeats = _per_row(line_runs * (line_runs > 1), line_rows[line_at], n)
+    seen = np.zeros((n, 256), bool)
+    seen[row_of, data] = True
     ended = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) if len(ends) else np.zeros(0, bool)
     columns = [
         np.log1p(size), np.log1p(count), *(kinds[:, 1:5] / some[:, None]).T, kinds[:, 0] / some, kinds[:, 5] / some, mean, spread,
-        V.row_counts(r[at], n) / words, again / words, np.log1p(lines), V.row_counts(line_rows, n) / lines,
-        1 - V.row_counts(line_rows, n) / lines, np.log1p(count / lines), distinct_pairs, _per_row(ended, rows, n) / words, np.log1p(size) / (1 + np.log1p(count)), top / words,
+        V.row_counts(r[at], n) / words, again / words, np.log1p(lines), V.row_counts(line_rows[line_at], n) / lines,
+        in_repeats / lines, np.log1p(count / lines), distinct_pairs, _per_row(ended, rows, n) / words, np.log1p(seen.sum(1)), top / words,
     ]
     return np.stack(columns, 1)
 
@@ -142,7 +154,7 @@ def _solve(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram + RIDGE * np.eye(len(gram)), moment)
 
 
-def fit(labelled: DataFrame, features: str = "statistics", label: str = "label", fold: str = "fold", prior: float = 0.5, sums: int = 16) -> Model:
+def fit(labelled: DataFrame, features: str = "statistics", label: str = "label", fold: str = "fold", prior: float = 0.5) -> Model:
     """Fits on rows of statistics, a label from 0 to 1 and a fold number; what reaches the driver has a fixed size."""
     width = len(STATISTICS)
     totals = [F.count("*"), F.avg(label)] + [f(F.col(features)[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]
@@ -161,18 +173,20 @@ def fit(labelled: DataFrame, features: str = "statistics", label: str = "label",
             for k in range(FOLDS):
                 a = phi[f == k]
                 gram[k] += a.T @ np.hstack([a, y[f == k, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], names=["gram"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(FOLDS * BANDS), pa.int32()), pa.array([x.tobytes() for g in gram for x in np.array_split(g, BANDS)], pa.binary())], names=["band", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FOLDS * size * (size + 1))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["gram"])
-
-    parts = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).mapInArrow(partial, "gram binary")
-    parts = parts.repartition(sums).mapInArrow(added, "gram binary").coalesce(1).mapInArrow(added, "gram binary")
-    gram = np.frombuffer(parts.first()[0]).reshape(FOLDS, size, size + 1)
+            for band, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[band] = total.get(band, 0.0) + np.frombuffer(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["band", "sums"])
+
+    # each partition sends its part of the equations in bands, and each band is added up by a task of its own
+    spread = 2 * labelled.sparkSession.sparkContext.defaultParallelism
+    parts = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).coalesce(spread).mapInArrow(partial, "band int, sums binary")
+    bands = {r.band: np.frombuffer(r.sums) for r in parts.repartition(FOLDS * BANDS, "band").mapInArrow(added, "band int, sums binary").collect()}
+    gram = np.concatenate([bands[k] for k in range(FOLDS * BANDS)]).reshape(FOLDS, size, size + 1)
     whole = gram.sum(0)
     model.weights = _solve(whole[:, :-1], whole[:, -1])
     apart = np.stack([_solve(whole[:, :-1] - g[:, :-1], whole[:, -1] - g[:, -1]) for g in gram])
