@@ -3,19 +3,20 @@
 Words are the maximal runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A window is
 ``width`` consecutive words of an item (a shorter item is one window). The automaton holds the items' aligned
 segments of ceil(width / 2) words: every window contains one, so scanning a text once finds every place where a
-window can be, and comparing words to both sides finds how far the text and the item agree. Word positions map to
-character offsets of the original text.
+window can be, and comparing words to both sides finds how far the text and the item agree. A segment that many items
+share is compared with each of them. Word positions map to character offsets of the original text.
 
-The automaton is broadcast; the benchmark's bytes are summed first, and one of more than ``block_bytes`` is worked
-off in blocks, each with its own automaton, the documents being written between the passes.
+There is one automaton for the whole benchmark, whatever its size; each Python worker builds its own from the broadcast
+texts, in about 50 bytes of memory for each byte of them. A benchmark of more than ``most_bytes`` is refused before
+anything is read to the driver: who has the memory names a larger bound.
 
 Defined results: null texts and texts without words have no words and no hits; an empty benchmark hits nothing;
-repeated rows are judged alike; items with the same id count once; columns named like an output are replaced.
+repeated rows are judged alike; items with the same id count once; columns named like an output are replaced; texts
+are scanned whole.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeframe.llm.common import written
+from strikeframe.llm import textvec as V
+from strikeframe.llm.common import small_batches
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.ASCII)
 WIDTH = 13
-#: Bytes of benchmark texts in one automaton; about 50 bytes of memory each.
-BLOCK_BYTES = 2_000_000
+#: Bytes of benchmark texts that a worker's memory is taken to allow.
+MOST_BYTES = 64_000_000
 
 _CLEAN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
+_SEPARATOR = np.array([c == 0x20 for c in _CLEAN])
+
 RANGES = T.ArrayType(T.ArrayType(T.IntegerType()))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -45,7 +48,7 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """A block of the benchmark as an automaton."""
+    """The benchmark as an automaton."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         import ahocorasick
@@ -107,7 +110,7 @@ _ITEMS: dict[str, Items] = {}
 
 
 def _items(shared: Broadcast, width: int) -> Items:
-    """The worker's own automaton of the block, made once; only the latest block's is kept."""
+    """The worker's own automaton, made once; only the latest benchmark's is kept."""
     name, items = shared.value
     if name not in _ITEMS:
         _ITEMS.clear()
@@ -115,48 +118,50 @@ def _items(shared: Broadcast, width: int) -> Items:
     return _ITEMS[name]
 
 
-def _pass(df: DataFrame, shared: Broadcast, width: int) -> DataFrame:
-    """One automaton over all texts; adds to the ranges and items found before."""
-    kept = df.columns
-    text, before, ids = kept.index("__text__"), kept.index("hit_ranges"), kept.index("item_ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(shared, width)
-        for batch in batches:
-            n, all_ranges, all_ids = [], [], []
-            for t, old, old_ids in zip(batch.column(text), batch.column(before).to_pylist(), batch.column(ids).to_pylist(), strict=True):
-                words = normal_words(t.as_py() or b"")
-                ranges, found = items.find(words)
-                n.append(len(words))
-                all_ranges.append(joined([*ranges, *map(tuple, old or [])]) if ranges or old else [])
-                all_ids.append(sorted({*found, *(old_ids or [])}))
-            new = {"n_words": pa.array(n, pa.int64()), "hit_ranges": pa.array(all_ranges, pa.list_(pa.list_(pa.int32()))), "item_ids": pa.array(all_ids, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(kept)], names=kept)
-
-    return df.mapInArrow(run, df.schema)
+def character_spans(text: bytes, ranges: list[list[int]]) -> list[dict[str, int]]:
+    """Ranges of words as start and end in characters of the text."""
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = V.words(data, np.array([0, len(data)]), _SEPARATOR)
+    character = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    return [{"start": int(character[starts[a]]), "end": int(character[ends[b - 1]])} for a, b in ranges]
 
 
 def find_items(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, most_bytes: int = MOST_BYTES, spans: str | None = None
 ) -> DataFrame:
-    """Adds n_words, hit_ranges (pairs of word positions, the end excluded) and item_ids (sorted as strings)."""
-    outputs = ("n_words", "hit_ranges", "item_ids", "__text__")
+    """Adds n_words, hit_ranges (pairs of word positions, the end excluded), item_ids (sorted as strings) and, if named,
+    ``spans`` (the ranges as start and end in characters of the original text)."""
+    outputs = ["n_words", "hit_ranges", "item_ids", *([spans] if spans else [])]
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    df = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in outputs],
-        F.col(f"`{text}`").cast("binary").alias("__text__"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(RANGES).alias("hit_ranges"),
-        F.array().cast("array<string>").alias("item_ids"),
-    )
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        df = _pass(df, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.id, bytes(r.text)) for r in block])), width)
-        if k + 1 < blocks:
-            df = written(df, f"decontaminate-{k}")
-    return df.drop("__text__")
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes, its automaton would take about {50 * size}; most_bytes is {most_bytes}")
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.id, bytes(r.text)) for r in items.collect()]))
+    kept = [c for c in docs.columns if c not in outputs]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", RANGES), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    if spans:
+        schema = schema.add(spans, SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _items(shared, width)
+        for batch in batches:
+            n, ranges, ids, places = [], [], [], []
+            for t in batch.column(len(kept)):
+                data = t.as_py() or b""
+                words = normal_words(data)
+                at, found = own.find(words)
+                n.append(len(words))
+                ranges.append(joined(at))
+                ids.append(sorted(found))
+                if spans:
+                    places.append(character_spans(data, ranges[-1]) if at else [])
+            new = [pa.array(n, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
+            if spans:
+                new.append(pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *outputs])
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__text__")).mapInArrow(run, schema)
 
 
 def n_hit(ranges: str = "hit_ranges") -> Column:
@@ -167,19 +172,3 @@ def contaminated(hit: Column | None = None, n_words: str = "n_words") -> Column:
     """A twentieth of the words or more are inside windows."""
     hit = n_hit() if hit is None else hit
     return (hit > 0) & (20 * hit >= F.col(n_words))
-
-
-def character_spans(df: DataFrame, text: str = "text", ranges: str = "hit_ranges", out: str = "hit_spans") -> DataFrame:
-    """Adds the ranges as (start, end) in characters of the original text."""
-
-    @F.pandas_udf(SPANS)
-    def spans(texts, found):
-        def of(t, rs):
-            if rs is None or not len(rs):
-                return []
-            at = [m.span() for m in WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
-            return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in rs]
-
-        return texts.combine(found, of)
-
-    return df.withColumn(out, spans(F.col(f"`{text}`"), F.col(ranges)))

@@ -288,7 +288,7 @@ def boundary(prefix: DataFrame) -> int:
     that lowers the sum.
     """
     step = F.ceil(F.log2("size") * 4)
-    pairs = F.size("shingles") * (F.size("shingles") - 1) / 2
+    pairs = F.size("shingles").cast("double") * (F.size("shingles") - 1) / 2
     scans = F.aggregate(F.slice("counts", F.lit(1), F.col("short").cast("int")), F.lit(0.0), lambda s, n: s + 1.0 + F.least(n, F.lit(BLOCK)) * COMPARED)
     classes = prefix.groupBy(step.alias("step")).agg(F.max("size"), F.sum(pairs), F.sum(scans)).orderBy("step").collect()
     best, at = 0.0, 0

@@ -91,7 +91,7 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", only:
                 part, inner = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
                 starts, ends, rows = chunks(part, inner)
                 high = V.word_hashes(part, starts, ends).view(np.int64)
-                low = V.word_hashes(part, starts, ends, V.MORE_CODES).view(np.int64)
+                low = V.word_hashes(part, starts, ends, V.MORE_CODES, V.MORE_BASE).view(np.int64)
                 columns = [ids[i:j][rows], (starts - inner[rows]).astype(np.int32), (ends - starts).astype(np.int32), high, low]
                 if only is not None:
                     keep = has(only, high)
@@ -141,13 +141,33 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     return runs(repeated_chunks(docs, key, text), least)
 
 
+def left_over(text: bytes, passages: list[dict]) -> bytes:
+    """The text without its passages; a character that a passage's edge cuts is kept."""
+    inside = lambda at: at < len(text) and text[at] & 0xC0 == 0x80
+    out, done = [], 0
+    for p in passages:
+        start, end = p["start"], p["end"]
+        while inside(start):
+            start += 1
+        while inside(end):
+            end -= 1
+        if start < end:
+            out.append(text[done:start])
+            done = end
+    return b"".join([*out, text[done:]])
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept_text", least: int = LEAST_RUN) -> DataFrame:
     """``docs`` with the text that is left without its repeated passages, cut at whole characters."""
-    passages = repeats(docs, key, text, least).withColumnRenamed("doc_id", "__key__")
-    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out]).join(passages, F.col(f"`{key}`").cast("long") == F.col("__key__"), "left")
-    data = F.col(text).cast("binary")
-    starts = F.concat(F.array(F.lit(0)), F.transform("passages", lambda p: p["end"]))
-    ends = F.concat(F.transform("passages", lambda p: p["start"]), F.array(F.octet_length(data)))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.substring(data, a + 1, b - a).cast("string"))
-    left = F.make_valid_utf8(F.array_join(pieces, ""))
-    return df.withColumn(out, F.when(F.col("passages").isNotNull(), F.regexp_replace(left, "�", "")).otherwise(F.col(text))).drop("__key__", "passages")
+    passages = repeats(docs, key, text, least).select(F.col("doc_id").alias("__key__"), F.col("passages").alias("__passages__"))
+    kept = [c for c in docs.columns if c != out]
+    df = docs.select(*[F.col(f"`{c}`") for c in kept]).join(passages, F.col(f"`{key}`").cast("long") == F.col("__key__"), "left")
+    df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text__"), "__passages__")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column(len(kept)).cast(pa.binary()).to_pylist(), batch.column(len(kept) + 1).to_pylist()
+            left = [left_over(t, p) if t is not None and p else t for t, p in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, out])
+
+    return df.mapInArrow(run, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "string"))

@@ -33,20 +33,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
-#: A second, independent set of codes; both hashes together have 128 bits.
+#: A second set of codes, and another base for it; both hashes together have 128 bits.
 MORE_CODES = mix(BYTE_CODES + _GOLDEN)
+MORE_BASE = 0x9E6C63D0676A9A99
 
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n."""
-    if len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, BYTES_AT_ONCE), base, np.uint64)
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        made = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(max(n, BYTES_AT_ONCE), factor, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[base] = (made[0], made[1])
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +96,11 @@ def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each run, from sums of byte codes times powers of a base."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
+    up, down = _powers(len(data) + 1, base)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(codes[data] * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])

@@ -11,7 +11,8 @@ reads on beyond the end to finish the last. After a record the next candidate is
 Defined results: null payloads count as empty; records with equal payloads of at least ``min_revisit`` bytes have
 one response, that with the smallest id, and the others revisit it (repeated ids revisit nothing else: equal ids
 are each a response); a page without id is a response without one (its record is named by the digest of its payload
-and url) and is read back with a null id; an empty table writes no record; corrupt bytes between members are skipped.
+and url) and is read back with a null id; an empty table writes no record; corrupt bytes between members are skipped;
+pages tie in nothing but their ids; a long payload is one record, whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,28 +102,26 @@ class Range:
 
     def __init__(self, file, start: int, size: int):
         self.file, self.size = file, size
-        self.at, self.data = start, b""  # data begins at ``at``
+        self.begin, self.data = start, b""  # data begins at ``begin`` of the file
+        self.at = start
 
     def more(self) -> bool:
-        begin = self.at + len(self.data)
-        if begin >= self.size:
+        """Reads on; what lies before ``at`` is let go, so each byte is moved about once."""
+        end = self.begin + len(self.data)
+        if end >= self.size:
             return False
-        self.file.seek(begin)
-        got = self.file.read(min(READ_AT_ONCE, self.size - begin))
-        self.data += got
+        self.file.seek(end)
+        got = self.file.read(min(READ_AT_ONCE, self.size - end))
+        self.data, self.begin = self.data[self.at - self.begin :] + got, self.at
         return bool(got)
 
-    def skip(self, to: int) -> None:
-        self.data, self.at = self.data[to - self.at :], to
-
     def find(self, end: int) -> int | None:
         """Where the next magic starts before ``end``."""
         while True:
-            i = self.data.find(MAGIC)
+            i = self.data.find(MAGIC, self.at - self.begin)
             if i >= 0:
-                return self.at + i if self.at + i < end else None
-            keep = max(0, len(self.data) - len(MAGIC) + 1)
-            self.skip(self.at + keep)
+                return self.begin + i if self.begin + i < end else None
+            self.at = max(self.at, self.begin + len(self.data) - len(MAGIC) + 1)
             if self.at >= end or not self.more():
                 return None
 
@@ -131,7 +130,8 @@ class Range:
         unpack, out, used, checked = zlib.decompressobj(31), [], 0, False
         try:
             while True:
-                piece = self.data[used : used + (1 << 16)]
+                low = self.at - self.begin + used
+                piece = self.data[low : low + (1 << 16)]
                 if not piece:
                     if not self.more():
                         return None
@@ -183,12 +183,11 @@ def records_in(file, start: int, end: int, size: int) -> Iterator[dict]:
     """The records of a file that start in [start, end)."""
     span = Range(file, start, size)
     while (at := span.find(end)) is not None:
-        span.skip(at)
+        span.at = at
         got = span.inflate()
+        span.at = at + 1 if got is None else got[1]
         if got is None:
-            span.skip(at + 1)
             continue
-        span.skip(got[1])
         if (fields := parse(got[0])) is not None:
             yield fields
 
@@ -198,7 +197,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE, payloads: boo
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
     ranges = files.where("length > 0").select("path", "length", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 2), F.xxhash64("path", "start"))
+    ranges = ranges.repartition(max(1, ranges.count()))  # a range is a task's work, so a lost one costs little
     schema = RECORD if payloads else T.StructType(RECORD.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
