@@ -101,3 +101,10 @@ def repair_score(kd: Column, sub: Column, td: Column, sig: Column, ctrl: Column)
 
 def fallback_projection(salary: Column, average: Column) -> Column:
     return F.when(average > 0, average).otherwise(salary / 1000.0 * 6.5)
+
+
+def gates(p_win: Column) -> Column:
+    """What a chance to win leaves of a projection's mean, floor, ceiling and deviation."""
+    return F.struct(
+        (0.35 + 0.65 * p_win).alias("mean"), F.greatest(F.lit(0.30), p_win).alias("floor"), (0.55 + 0.45 * p_win).alias("ceiling"), (0.70 + 0.30 * p_win).alias("stdev")
+    )

@@ -91,7 +91,29 @@ def pair_totals(landed: str, attempted: str, name: str) -> list[Column]:
     ]
 
 
-def keys_with_prefix(df: DataFrame, maps: str, prefix: str) -> list[str]:
-    """The sorted keys of all maps that begin with the prefix; as many as there are features."""
-    names = df.select(F.explode(F.map_keys(maps)).alias("k")).where(F.col("k").startswith(prefix)).distinct().orderBy("k")
-    return [r.k for r in names.collect()]
+def keys_with_prefix(df: DataFrame, maps: str, prefix: str) -> DataFrame:
+    """The keys (column k) of all maps that begin with the prefix, in order."""
+    return df.select(F.explode(F.map_keys(maps)).alias("k")).where(F.col("k").startswith(prefix)).distinct().orderBy("k")
+
+
+def population_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Mean, 10th and 90th percentile and population deviation of each group's whole numbers, from exact sums."""
+    n, total, squares = F.count(column), F.sum(F.col(column).cast("long")), F.sum(F.col(column).cast("long") * F.col(column).cast("long"))
+    spread = F.sqrt((n * squares - total * total).cast("double") / (n * n).cast("double"))
+    at = F.percentile(column, [0.1, 0.9])
+    return df.groupBy(*keys).agg((total.cast("double") / n).alias("mean"), at[0].alias("p10"), at[1].alias("p90"), spread.alias("stdev"))
+
+
+def best_of_each(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
+    """The row of the greatest score of each key; ties go to the smaller of the further columns."""
+    negative = [(-F.col(c)).alias(f"__{c}__") for c in ties]
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(score, *negative)).alias("__r__")).select(*keys, "__r__.*").select(*df.columns)
+
+
+def match_counters(df: DataFrame, key: str) -> DataFrame:
+    """Rows in all, in pairs, beyond a pair, and alone."""
+    n = F.col("n")
+    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return sizes.agg(total(n).alias("total"), total(F.when(n >= 2, 2).otherwise(0)).alias("ok"), total(F.when(n > 2, n - 2).otherwise(0)).alias("ambiguous"), total(F.when(n == 1, 1).otherwise(0)).alias("unmatched"))

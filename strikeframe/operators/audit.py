@@ -28,7 +28,7 @@ def repaired_outcomes(pairs: DataFrame, fight: str = "fight_id") -> DataFrame:
     )
     wrong = (F.col("__n__") == 2) & ~((F.col("__known__") == 2) & (F.col("__wins__") == 1)) & (F.col("__best__") > F.col("__worst__"))
     fixed = F.when(wrong, (F.col("__score__") == F.col("__best__")).cast("int")).otherwise(F.col("is_win"))
-    return scored.join(about, fight).withColumn("is_win", fixed).select(*pairs.columns)
+    return scored.join(about, fight, "left").withColumn("is_win", fixed).select(*pairs.columns)
 
 
 def ambiguous_names(names: DataFrame, norm: str, ident: str) -> DataFrame:

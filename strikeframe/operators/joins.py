@@ -106,3 +106,14 @@ def fuzzy_top_k(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     scored = pairs.withColumn("score", token_sort_ratio(F.col("ln"), F.col("rn"))).where(F.col("score") >= least)
     w = Window.partitionBy("l").orderBy(F.desc("score"), "rn", "r")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l", "r", "score", "rank")
+
+
+def alias_candidates(left: DataFrame, right: DataFrame, query: str, name: str, k: int = 8) -> DataFrame:
+    """Of each query the k best names of the same first word, by score, reason and name; never itself."""
+    from strikeframe.functions.names import alias_score
+
+    first = lambda c: F.substring_index(F.col(c), " ", 1)
+    pairs = left.select(query, first(query).alias("__first__")).join(right.select(name, first(name).alias("__first__")), "__first__").where(F.col(query) != F.col(name))
+    scored = pairs.withColumn("__s__", alias_score(F.col(query), F.col(name))).where("__s__ is not null").select(query, name, "__s__.score", "__s__.reason")
+    w = Window.partitionBy(query).orderBy(F.desc("score"), "reason", name)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -48,3 +48,10 @@ def tier(value: Column, p25: Column, p50: Column, p75: Column) -> Column:
 def flags(**tests: Column) -> Column:
     """The names of the tests that hold."""
     return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
+
+
+def in_range(test: Column, column: str, low: float | None, high: float | None) -> Column:
+    """The test, and the number between the bounds that are given."""
+    if low is not None:
+        test = test & (F.col(column) >= low)
+    return test if high is None else test & (F.col(column) <= high)

@@ -69,5 +69,11 @@ def cyclic_slice(df: DataFrame, by: list[str], order: list[Column | str], start:
 
 def share(df: DataFrame, by: list[str], column: str, out: str = "share") -> DataFrame:
     """A row's part of its group's sum; the sums are pre-aggregated and joined, so a large group is no one task's."""
-    sums = df.groupBy(*by).agg(F.sum(column).alias("__sum__"))
-    return df.join(sums, by).withColumn(out, F.col(column) / F.nullif(F.col("__sum__"), F.lit(0).cast(sums.schema["__sum__"].dataType))).drop("__sum__")
+    sums = df.groupBy(*[F.col(b).alias(f"__by_{b}__") for b in by]).agg(F.sum(column).alias("__sum__"))
+    same = [F.col(b).eqNullSafe(F.col(f"__by_{b}__")) for b in by]  # rows without a key are a group, too
+    return df.join(sums, same).drop(*[f"__by_{b}__" for b in by]).withColumn(out, F.col(column) / F.nullif(F.col("__sum__"), F.lit(0).cast(sums.schema["__sum__"].dataType))).drop("__sum__")
+
+
+def ranked_strings(df: DataFrame, column: str, out: str = "position") -> DataFrame:
+    """Distinct texts numbered in order; there are few, so one task numbers them."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(column)).cast("long"))

@@ -99,10 +99,14 @@ def share_of_total(spark, d):
     return windows.share(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], "s_suppkey").select("s_suppkey", "s_nationkey", "share")
 
 
-@query("""SELECT user_id, event_id, ts, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type IS NOT NULL""")
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.user_id, a.event_id, a.value, b.value AS other_value FROM s a LEFT JOIN s b ON a.user_id = b.user_id AND b.n = 3 - a.n AND b.n <= 2 WHERE a.n <= 2""")
 def opponent_value(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").where("event_type is not null").select("user_id", "event_id", "ts", F.lag("value").over(w).alias("before"))
+    """The value of the other side of each pair."""
+    sides = windows.sides(t(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"])
+    w = Window.partitionBy("user_id").orderBy("side")
+    other = F.coalesce(F.when(F.col("side") == "A", F.lead("value").over(w)), F.when(F.col("side") == "B", F.lag("value").over(w)))
+    return sides.select("user_id", "event_id", "value", other.alias("other_value"))
 
 
 # Aggregations and reshaping
@@ -217,9 +221,9 @@ def star_left(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("o_orderstatus", F.lit("?")).alias("status"), "c_name", "n_name", "r_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def orphans(spark, d):
-    return audit.orphans(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return audit.orphans(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
@@ -235,10 +239,10 @@ def reconcile_status(spark, d):
     return joins.reconcile(n.where("k < 20"), n.where("k >= 5").withColumn("v", F.when(F.col("k") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))), "k", "v")
 
 
-@query("""WITH r AS (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_suppkey % 7 = 0), c AS (SELECT k, count(*) AS n FROM r GROUP BY k)
+@query("""WITH r AS (SELECT s_nationkey AS k, s_suppkey FROM supplier), c AS (SELECT k, count(*) AS n FROM r GROUP BY k)
 SELECT n_nationkey AS k, coalesce(c.n, 0) AS candidates, CASE WHEN c.n = 1 THEN r.s_suppkey END AS s_suppkey FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN r ON r.k = n_nationkey AND c.n = 1""")
 def unique_only(spark, d):
-    right = t(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    right = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
     return joins.unique_only(t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), right, "k")
 
 
@@ -250,11 +254,12 @@ def alias_priority(spark, d):
     return joins.priority_lookup(k, "k", [("alias", alias, 1.0), ("exact", exact, 0.98)])
 
 
-@query("""SELECT a.s_nationkey, a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_suppkey <= 200 AND b.s_suppkey <= 200""")
+@query("""SELECT a.l_orderkey, a.l_linenumber AS one, b.l_linenumber AS two, a.l_quantity - b.l_quantity AS more FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber""")
 def pair_self_join(spark, d):
-    s = t(spark, d, "supplier").where("s_suppkey <= 200").select("s_nationkey", "s_suppkey")
-    other = s.select("s_nationkey", F.col("s_suppkey").alias("two"))
-    return s.withColumnRenamed("s_suppkey", "one").join(other, "s_nationkey").where("one < two")
+    """The pairs of lines of each order; an order has a few lines, as a fight has two sides."""
+    one = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("one"), F.col("l_quantity").alias("q"))
+    two = one.select("l_orderkey", F.col("one").alias("two"), F.col("q").alias("r"))
+    return one.join(two, "l_orderkey").where("one < two").select("l_orderkey", "one", "two", (F.col("q") - F.col("r")).alias("more"))
 
 
 @query("""SELECT e.event_id, e.user_id, (SELECT arg_max(p.value, struct_pack(a := p.ts, b := p.event_id)) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts < e.ts) AS last_value FROM events e WHERE e.event_type <> 'purchase'""")
@@ -264,11 +269,12 @@ def as_of_latest(spark, d):
     return out.select("event_id", "user_id", "last_value")
 
 
-@query("""WITH f AS (SELECT n_name, unnest(list_distinct([lower(n_name), list_extract(string_split(lower(n_name), ' '), -1)])) AS form FROM nation), u AS (SELECT form, min(n_name) AS full_name FROM f GROUP BY form HAVING count(DISTINCT n_name) = 1)
-SELECT r_regionkey, lower(r_name) AS token, full_name FROM region LEFT JOIN u ON u.form = lower(r_name)""")
+@query("""WITH f AS (SELECT n_name, unnest(list_distinct([replace(lower(n_name), '_', ' '), list_extract(string_split(lower(n_name), '_'), -1)])) AS form FROM nation), u AS (SELECT form, min(n_name) AS full_name FROM f GROUP BY form HAVING count(DISTINCT n_name) = 1)
+SELECT s_suppkey, CAST(s_suppkey % 30 AS VARCHAR) AS token, full_name FROM supplier LEFT JOIN u ON u.form = CAST(s_suppkey % 30 AS VARCHAR)""")
 def token_lookup(spark, d):
-    tokens = t(spark, d, "region").select("r_regionkey", F.lower("r_name").alias("token"))
-    return joins.token_lookup(tokens, t(spark, d, "nation").select("n_name"), "token", "n_name").select("r_regionkey", "token", "full_name")
+    """Nations by the last word of their names; some tokens name none."""
+    tokens = t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 30).cast("string").alias("token"))
+    return joins.token_lookup(tokens, t(spark, d, "nation").select("n_name"), "token", "n_name").select("s_suppkey", "token", "full_name")
 
 
 @query()
@@ -419,10 +425,10 @@ def _as_players(s: DataFrame) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT c_custkey AS k FROM customer ORDER BY c_custkey LIMIT 26), p AS (SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS player_id, k, 40.0::DOUBLE + k % 17 * 3 AS m FROM s)
+@query("""WITH s AS (SELECT c_custkey AS k FROM customer), p AS (SELECT CASE WHEN k < 1000000 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS player_id, k, 40.0::DOUBLE + k % 17 * 3 AS m FROM s)
 SELECT player_id, m + 0.3::DOUBLE * (m * 1.6::DOUBLE) + 1.5::DOUBLE * (m / 8.0::DOUBLE) + 14.0::DOUBLE * (0.3::DOUBLE + k % 5 * 0.1::DOUBLE) + 22.0::DOUBLE * (0.1::DOUBLE + k % 4 * 0.1::DOUBLE) + 0.0::DOUBLE - 12.0::DOUBLE * (0.2::DOUBLE + k % 7 * 0.05::DOUBLE) AS score FROM p""")
 def player_scores(spark, d):
-    return _players(spark, d).select("player_id", D.player_score("gpp").alias("score"))
+    return _as_players(t(spark, d, "customer")).select("player_id", D.player_score("gpp").alias("score"))
 
 
 @query()
@@ -437,18 +443,9 @@ def optimized_lineups(spark, d):
     return slate.optimized(_players(spark, d), n=20)
 
 
-@query()
-def simulated_points(spark, d):
-    p = _as_players(t(spark, d, "customer")).select(
-        "player_id", "p_win", F.col("finish_equity").alias("p_finish"), F.lit(3.5).alias("sig_pm"), F.lit(0.2).alias("td_pm"), F.lit(20.0).alias("ctrl_pm"), F.lit(0.02).alias("kd_pm"), F.lit(0.05).alias("sub_pm"),
-        F.lit(False).alias("five_rounds"), F.lit(4000).alias("sims"),
-    )
-    return model.simulate(p, "player_id")
-
-
 @query()
 def trained_model(spark, d):
-    """A logit of open orders by price and line, by as many steps as the operator and the reference do."""
+    """A logit of open orders by price and customer, fitted to all rows until its steps vanish."""
     o = t(spark, d, "orders").select(F.array(F.col("o_totalprice") / 100000.0, (F.col("o_custkey") % 10).cast("double")).alias("x"), (F.col("o_orderstatus") == "O").cast("double").alias("y"))
     w, b = model.train_logit(o, 2)
     return spark.createDataFrame([(w[0], w[1], b)], "w0 double, w1 double, b double")

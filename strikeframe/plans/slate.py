@@ -29,11 +29,11 @@ def fight_map(players: DataFrame) -> DataFrame:
     return keyed.withColumns({"side": side, "opponent": F.when(F.col("fight_id").isNotNull(), mate), "status": status})
 
 
-def with_odds(players: DataFrame, odds: DataFrame | None) -> DataFrame:
-    """Blends p_win with the market's where odds are known; without a table of odds, p_win stays."""
+def with_odds(players: DataFrame, odds: DataFrame | None, sequence: str = "moneyline") -> DataFrame:
+    """Blends p_win with the market's where odds are known, the last by ``sequence``; without a table of odds, p_win stays."""
     if odds is None:
         return players
-    last = odds.groupBy(F.lower(F.trim("fighter_name")).alias("__k__")).agg(F.last("moneyline").alias("moneyline"))
+    last = odds.groupBy(F.lower(F.trim("fighter_name")).alias("__k__")).agg(F.max_by("moneyline", F.struct(sequence, "moneyline")).alias("moneyline"))
     out = players.withColumn("__k__", F.lower(F.trim("player_name"))).join(last, "__k__", "left").drop("__k__")
     return out.withColumn("p_win", D.blend(D.implied_probability(F.col("moneyline")), F.col("p_win")))
 
@@ -116,9 +116,7 @@ def feasible_lineups(
 def optimized(
     players: DataFrame, mode: str = "gpp", n: int = 20, size: int = 6, ownership_weight: float = 0.0, min_unique: int = 1, max_exposure: float = 0.65, **rules
 ) -> DataFrame:
-    """The best n lineups, each unlike the others and no player in too many. The sorted lineups are read lazily."""
+    """The best n lineups, each unlike the others and no player in too many."""
     every = feasible_lineups(players, D.player_score(mode, ownership_weight), size, **rules)
-    ordered = every.orderBy(F.desc("score"), F.desc("salary"), "members")
-    chosen = diversified(((r.members, r.salary, r.risk, r.score) for r in ordered.toLocalIterator()), n, size, min_unique, max_exposure)
-    rows = [(i + 1, *c) for i, c in enumerate(chosen)]
+    rows = diversified(every, n, size, [F.desc("score"), F.desc("salary"), "members"], min_unique, max_exposure)
     return players.sparkSession.createDataFrame(rows, "rank int, members array<string>, salary long, risk double, score double")

@@ -50,11 +50,46 @@ def require_tables(spark: SparkSession, names: list[str]) -> None:
         raise ValueError(f"missing tables: {', '.join(missing)}")
 
 
-def preview(spark: SparkSession, table: str, allowed: set[str], limit: int = 50, offset: int = 0) -> DataFrame:
-    """Some rows of an allowed table."""
+def preview(spark: SparkSession, table: str, allowed: set[str], order: list[str], limit: int = 50, offset: int = 0) -> DataFrame:
+    """Some rows of an allowed table, in a total order."""
     if table not in allowed:
         raise ValueError(f"table {table!r} is not open to previews")
-    return spark.table(table).offset(max(0, offset)).limit(max(1, min(limit, 500)))
+    return spark.table(table).orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 500)))
+
+
+def catalog_listing(spark: SparkSession, allowed: set[str] | None = None) -> DataFrame:
+    """Names of the tables and views that may be shown, in order."""
+    names = sorted(t.name for t in spark.catalog.listTables() if allowed is None or t.name in allowed)
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def inferred_tables(spark: SparkSession, files: dict[str, str], views: dict[str, str] | None = None) -> None:
+    """CSV files as tables of inferred types, written anew, and views under further names."""
+    for name, path in files.items():
+        spark.read.option("header", True).option("inferSchema", True).csv(path).write.mode("overwrite").saveAsTable(name)
+    for view, table in (views or {}).items():
+        spark.table(table).createOrReplaceTempView(view)
+
+
+def overridden(df: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Columns taken from the override of a key that occurs once there, where it has a value."""
+    once = overrides.groupBy(key).agg(F.count("*").alias("__n__"), *[F.min(c).alias(f"__{c}__") for c in columns]).where("__n__ = 1").drop("__n__")
+    out = df.join(once, key, "left")
+    return out.select(*[F.coalesce(F.nullif(F.trim(F.col(f"__{c}__").cast("string")), F.lit("")), F.col(c).cast("string")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def lookup(df: DataFrame, column: str, value: object) -> DataFrame:
+    """The one row of a key's value; an error if there is none."""
+    found = df.where(F.col(column) == F.lit(value)).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no row with {column} = {value!r}")
+    return found
+
+
+def model_row(models: DataFrame, name: str) -> DataFrame:
+    """A model's columns, weights and bias from its stored payload; an error if there is none."""
+    m = F.from_json("payload_json", "feature_cols array<string>, w array<double>, b double, n long").alias("m")
+    return lookup(models, "model_name", name).select("model_name", m).select("model_name", "m.*")
 
 
 def discovered(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame | None:

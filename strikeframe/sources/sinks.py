@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 
 def _last_of_each(df: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:
-    if sequence is None:
-        return df.dropDuplicates(keys)
     rest = [c for c in df.columns if c not in keys]
+    if sequence is None:  # no order is given: the largest row, so that the choice is always the same
+        return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r__")).select(*keys, "__r__.*").select(*df.columns) if rest else df.distinct()
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), sequence).alias("__r__")).select(*keys, "__r__.*").select(*df.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
-    """New rows replace old ones with their key; of several new ones the last by ``sequence``."""
+    """New rows replace old ones with their key; of several new ones the last by ``sequence``, or the largest."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(_last_of_each(new, keys, sequence))
 
 
-def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
+def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str], sequence: str | None = None) -> DataFrame:
     """Each column by its rule: ``new`` (overwrite), ``fill`` (only where the old is null), ``prefer`` (the new unless
-    it is null), ``keep``. Rows of either side alone stay as they are."""
-    o = old.select(*keys, *[F.col(c).alias(f"__old_{c}__") for c in rules], F.lit(True).alias("__o__"))
+    it is null), ``keep``, as are columns without a rule. Rows of either side alone stay as they are; of several new rows
+    of a key the last by ``sequence`` counts, or the largest."""
+    rules = {c: "keep" for c in old.columns if c not in keys and c in new.columns} | rules
+    alone = [c for c in old.columns if c not in keys and c not in rules]
+    new = _last_of_each(new, keys, sequence)
+    o = old.select(*keys, *[F.col(c).alias(f"__old_{c}__") for c in rules], *alone, F.lit(True).alias("__o__"))
     n = new.select(*keys, *[F.col(c).alias(f"__new_{c}__") for c in rules], F.lit(True).alias("__n__"))
     both = o.join(n, keys, "full_outer")
 
@@ -30,7 +34,16 @@ def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[
         merged = {"new": b, "fill": F.coalesce(a, b), "prefer": F.coalesce(b, a), "keep": a}[how]
         return F.when(F.col("__n__").isNull(), a).when(F.col("__o__").isNull(), b).otherwise(merged).alias(c)
 
-    return both.select(*keys, *[rule(c, how) for c, how in rules.items()])
+    return both.select(*keys, *[rule(c, how) for c, how in rules.items()], *alone)
+
+
+def appended(old: DataFrame, new: DataFrame, ident: str, order: list[str]) -> DataFrame:
+    """Old rows and new ones, which get the next ids in order; numbered without a task that holds them all."""
+    from strikeframe.operators.windows import global_order
+
+    last = old.agg(F.coalesce(F.max(ident), F.lit(0).cast("long"))).first()[0]
+    numbered = global_order(new, order, ident).withColumn(ident, F.col(ident) + F.lit(last))
+    return old.unionByName(numbered.select(*old.columns))
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
