@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail addresses, network addresses, card, account, social-security and telephone numbers,
-secrets and names. The text is cut at the matches, each match gets its surrogate, and the parts are joined again.
+secrets and names. Texts are searched once and written in pieces, cut at the matches; each match gets its surrogate,
+and the pieces are joined again.
 
 A surrogate is a keyed permutation of the entity's normal form: the characters of one half are shifted within their
 own class (digits, hex letters, vowels and consonants of a script, ...) by a keyed stream of the other half, four
@@ -52,24 +53,25 @@ _WORDS = "password|passwd|pwd|secret|token|api_key|apikey|api-key"
 _PREFIX = r"(?:AKIA|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-)"
 #: What a telephone number's writing has before its own digits: the dialling code, or the zero in its place.
 _DIAL = r"^(?:\+\d{1,3}(?=[ ./(-])(?: ?\(0\))?|0(?=\d{1,4}[ ./-])|\(0(?=\d{1,4}\)))"
-#: Pattern of each kind; where two fit at one place, the earlier holds.
+#: Pattern of each kind; where two fit at one place, the earlier holds. Most begin with what is soonest seen not to fit.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
-    "password": r"(?<=(?i:" + _WORDS + r")\s{0,2}[=:]\s{0,2}[\"']{0,1})(?!(?<mask>[^\p{L}\p{N}\s])\k<mask>*+(?![^\s\"']))[^\s\"'=:][^\s\"']{5,}",
+    "password": r"(?<=[=:\s\"'])(?<=[=:]\s{0,2}[\"']{0,1})(?<=(?i:" + _WORDS + r")\s{0,2}[=:]\s{0,2}[\"']{0,1})(?!(?<mask>[^\p{L}\p{N}\s])\k<mask>*+(?![^\s\"']))[^\s\"'=:][^\s\"']{5,}",
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
-    "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
-    "hardware": r"(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
-    "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "phone": r"(?<![\p{L}\p{N}+.])(?!" + _CARD + r")(?:\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d{3,4}[ .-]?\d{4}|[ .-]?\d{5,8}|[ .-]?\d{2,4}(?:[ .-]\d{2,8}){1,4})|\+\d{1,3}(?:[ ./-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d{5,12}|\+\d{8,14}"
+    "account": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip": r"(?=\d)(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
+    "hardware": r"(?=[0-9A-Fa-f]{2}[:-])(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    "phone": r"(?=[0-9+(])(?<![\p{L}\p{N}+.])(?!" + _CARD + r")(?:\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d{3,4}[ .-]?\d{4}|[ .-]?\d{5,8}|[ .-]?\d{2,4}(?:[ .-]\d{2,8}){1,4})|\+\d{1,3}(?:[ ./-]\d{2,8}){2,5}|\+\d{1,3}[ .-]\d{5,12}|\+\d{8,14}"
     r"|\(\d{2,5}\)[ .-]?(?:\d{3,4}[ .-]?\d{4}|\d{5,8})|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}(?:[ .-]\d{3,4}){2}|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{5,8}(?:-\d{1,4})?|0\d{2,4}[ /]\d{4}(?:-\d{1,4})?)(?![\p{L}\p{N}])",
-    "social": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}.-])" + _CARD,
-    "name": r"(?<!\p{L})(?:(?:" + _TITLE + r")\.? (?:\p{Lu}[\p{Ll}'-]+ ){0,2}\p{Lu}[\p{Ll}'-]+|(?:" + _GIVEN + r") \p{Lu}[\p{Ll}'-]{2,})(?!\p{L})",
+    "social": r"(?=\d)(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "card": r"(?=\d)(?<![\p{L}\p{N}.-])" + _CARD,
+    "name": r"(?=\p{Lu})(?<!\p{L})(?:(?:" + _TITLE + r")\.? (?:\p{Lu}[\p{Ll}'-]+ ){0,2}\p{Lu}[\p{Ll}'-]+|(?:" + _GIVEN + r") \p{Lu}[\p{Ll}'-]{2,})(?!\p{L})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Every entity has one of these; texts without any aren't searched further.
-HINT = r"[0-9@=]|(?i:" + _WORDS + r")\s{0,2}:|" + _PREFIX + r"|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}-[A-Fa-f]{2}-|[A-Fa-f]{1,4}:[A-Fa-f]|(?<!\p{L})(?:" + _TITLE + "|" + _GIVEN + r")\.? \p{Lu}"
+#: Within a word, after a letter, only network addresses begin; all other places try every kind.
+PATTERN = r"(?<!\p{L})(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + rf")|(?=\d)(?<=\p{{L}}){KINDS['ip']}"
+#: Set around matches when a text is cut; a text that holds this character is cut in another way.
+MARK = "\uffff"
 
 _DIGITS = [(0x30, 10, "")]
 _UPPER = [(0x41, 26, "")]
@@ -316,16 +318,26 @@ def written_like(match: Column, of: Column, new: Column) -> Column:
     )
 
 
-def matches(text: Column) -> Column:
-    """All entities of a text, in order; none for texts without a hint of one."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def cut(text: Column) -> Column:
+    """The text in pieces: what lies between entities at even places, entities at odd ones; null for null."""
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    between, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    apart = F.flatten(F.zip_with(between, found, lambda p, m: F.when(m.isNull(), F.array(p)).otherwise(F.array(p, m))))
+    return F.when(text.contains(MARK), apart).otherwise(marked)
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities of a corpus: kind and norm."""
-    found = docs.select(F.explode(F.array_distinct(matches(F.col(text)))).alias("match"))
+def matches(pieces: Column) -> Column:
+    """The entities among the pieces of a text, in order."""
+    return F.filter(pieces, lambda p, i: i % 2 == 1)
+
+
+def entities(pieces: DataFrame) -> DataFrame:
+    """The distinct entities of a corpus, cut in the column ``pieces``: kind and norm."""
+    found = pieces.select(F.explode(F.array_distinct(matches(F.col("pieces")))).alias("match")).distinct()
     found = found.select("match", kind(F.col("match")).alias("kind"))
-    return found.select("kind", normal(F.col("match"), F.col("kind")).alias("norm")).distinct()
+    # surrogates cost much more time than bytes: dealt to all cores, however small the table
+    parts = pieces.sparkSession.sparkContext.defaultParallelism
+    return found.select("kind", normal(F.col("match"), F.col("kind")).alias("norm")).distinct().repartition(parts, "kind", "norm")
 
 
 def exceptions(found: DataFrame, key: str) -> DataFrame:
@@ -344,15 +356,23 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
 
 
 def surrogates(docs: DataFrame, key: str, text: str = "text", count: str = "n_entities", kinds: str = "entity_kinds") -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, the number of entities, and their kinds."""
-    rare = written(exceptions(written(entities(docs, text), "pii-entities"), key), "pii-exceptions")
+    """``docs`` with every entity of ``text`` replaced, the number of entities, and their kinds.
+
+    Texts are searched once: they are written in pieces, and the rest works on these.
+    """
+    kept = [c for c in docs.columns if c not in (count, kinds)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text], F.lit(0).alias("__none__")).alias("row"), F.col(text).alias("text"), cut(F.col(text)).alias("pieces"))
+    # a text without entities is one piece
+    found = F.size("pieces") > 1
+    rows = written(rows.select("row", F.when(~found, F.col("text")).alias("text"), F.when(found, F.col("pieces")).alias("pieces")), "pii-pieces")
+    rare = written(exceptions(written(entities(rows), "pii-entities"), key), "pii-exceptions")
     some = not rare.isEmpty()
-    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (count, kinds, "__turns__", "__found__")])
     if some:
-        held = docs.select(F.sha2(F.col(text).cast("binary"), 256).alias("__digest__"), F.explode(F.array_distinct(matches(F.col(text)))).alias("match")).distinct()
+        digest = F.sha2(F.to_json("pieces").cast("binary"), 256)
+        held = rows.where("pieces is not null").select(digest.alias("digest"), F.explode(F.array_distinct(matches(F.col("pieces")))).alias("match")).distinct()
         held = held.withColumn("kind", kind(F.col("match"))).withColumn("norm", normal(F.col("match"), F.col("kind"))).join(rare, ["kind", "norm"])
-        held = held.groupBy("__digest__").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm").alias("k"), "turn"))).alias("__turns__"))
-        df = df.withColumn("__digest__", F.sha2(F.col(text).cast("binary"), 256)).join(written(held, "pii-held"), "__digest__", "left").drop("__digest__")
+        held = held.groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "norm").alias("k"), "turn"))).alias("turns"))
+        rows = rows.withColumn("digest", digest).join(written(held, "pii-held"), "digest", "left")
 
     def surrogate(m: Column) -> Column:
         return _let(F.struct(m.alias("m"), kind(m).alias("kind")), with_norm)
@@ -361,19 +381,17 @@ def surrogates(docs: DataFrame, key: str, text: str = "text", count: str = "n_en
         return _let(F.struct(x["m"].alias("m"), x["kind"].alias("kind"), normal(x["m"], x["kind"]).alias("norm")), with_new)
 
     def with_new(x: Column) -> Column:
-        turn = F.coalesce(F.element_at("__turns__", F.concat_ws(":", x["kind"], x["norm"])), F.lit(0)) if some else F.lit(0)
+        turn = F.coalesce(F.element_at("turns", F.concat_ws(":", x["kind"], x["norm"])), F.lit(0)) if some else F.lit(0)
         return _let(F.struct(x["m"].alias("m"), x["kind"].alias("kind"), replacement(x["norm"], x["kind"], key, turn).alias("new")), finished)
 
     def finished(x: Column) -> Column:
         return F.struct(x["kind"].alias("kind"), written_like(x["m"], x["kind"], x["new"]).alias("new"))
 
-    df = df.withColumn("__found__", matches(F.col(text)))
-    df = df.withColumn("__found__", F.transform("__found__", surrogate))
-    pieces = F.split(F.col(text), PATTERN, -1)
-    new = F.array_join(F.flatten(F.zip_with(pieces, "__found__", lambda p, s: F.array(p, F.coalesce(s["new"], F.lit(""))))), "")
-    kept = [F.when(F.size("__found__") > 0, new).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in (count, kinds)]
-    return df.select(
-        *kept,
-        F.coalesce(F.size("__found__"), F.lit(0)).cast("long").alias(count),
-        F.array_sort(F.array_distinct(F.transform(F.coalesce("__found__", F.array().cast("array<struct<kind:string,new:string>>")), lambda x: x["kind"]))).alias(kinds),
+    rows = rows.withColumn("found", F.transform(F.coalesce(matches(F.col("pieces")), F.array().cast("array<string>")), surrogate))
+    between = F.filter("pieces", lambda p, i: i % 2 == 0)
+    new = F.array_join(F.flatten(F.zip_with(between, "found", lambda p, s: F.array(p, F.coalesce(s["new"], F.lit(""))))), "")
+    return rows.select(
+        *[F.coalesce("text", new).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.size("found").cast("long").alias(count),
+        F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))).alias(kinds),
     )

@@ -53,3 +53,47 @@ def test_every_kind_alone(spark):
     # one number in three writings
     own = {re.sub("[^0-9]", "", got[t].text)[-9:] for t in ("call +49 30 1234567", "call 030 1234567", "call +49 (0)30 1234567")}
     assert len(own) == 1
+
+
+def test_marks_in_the_text_and_columns_named_alike(spark):
+    rows = [(1, "a￿b write to ann@example.org￿", 5, 6), (2, "￿", 5, 6), (3, "ann@example.org,bob@example.org", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pieces int, row int")
+    got = {r.doc_id: r for r in pii.surrogates(docs, "key").collect()}
+    assert got[2].text == "￿" and got[2].n_entities == 0
+    assert got[1].text.startswith("a￿b write to ") and got[1].text.endswith(".org￿") and "ann@" not in got[1].text
+    assert got[3].n_entities == 2 and got[1].text[len("a￿b write to ") : -1] == got[3].text.split(",")[0]
+    assert {(r.pieces, r.row) for r in got.values()} == {(5, 6)}
+
+
+def test_whole_table_by_a_plain_finder(spark):
+    """Every text of the table, cut by another engine's search for each kind in turn at every place."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kinds = [regex.compile(p.replace(r"\k<mask>", "(?P=mask)")) for p in pii.KINDS.values()]
+
+    def found(text):
+        out, at = [], 0
+        while at < len(text):
+            hit = next((m for k in kinds if (m := k.match(text, at))), None)
+            if hit:
+                out.append(hit.span())
+            at = hit.end() if hit else at + 1
+        return out
+
+    new = {r.doc_id: r for r in pii.surrogates(docs, "key").collect()}
+    pairs, originals = set(), set()
+    for doc_id, text in docs.collect():
+        spans = found(text or "")
+        assert new[doc_id].n_entities == len(spans), text
+        edges = [0, *[e for s in spans for e in s], len(text or "")]
+        between = [text[edges[i] : edges[i + 1]] for i in range(0, len(edges) - 1, 2)] if text else [""]
+        shape = regex.fullmatch("(.+?)".join(map(regex.escape, between)), new[doc_id].text or "", regex.DOTALL)
+        assert shape, (text, new[doc_id].text)
+        said = [text[a:b] for a, b in spans]
+        originals |= set(said)
+        pairs |= set(zip(said, shape.groups(), strict=True))
+    assert len(pairs) > 20
+    # one surrogate for each entity, one entity for each surrogate, none that was there before
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+    assert not {b for _, b in pairs} & originals
