@@ -41,7 +41,8 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     shared = bpe.vocabulary(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text")
+    # written, so that encoders and decoders don't hold their vocabularies at the same time
+    tokens = written(bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text"), "tokens")
     return bpe.decode(tokens, shared).select(
         "doc_id", "lang", "source", bpe.token_count().alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
