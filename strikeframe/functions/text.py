@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from unicodedata import combining, normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with accents and what they fold to.
-ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin lower-case letters that decompose into one plain letter and marks, and that letter.
+FOLDED = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (d := normalize("NFKD", c))[0].isascii() and all(map(combining, d[1:])) and len(d) > 1}
 #: Generational suffixes of names.
 SUFFIX = r"\b(jr|sr|ii|iii|iv|v)\b\.?$"
 #: Parts of page furniture that scrapers have taken for names.
@@ -29,8 +30,9 @@ def norm_name(c: Column) -> Column:
 
 
 def norm_name_folded(c: Column) -> Column:
-    """``norm_name`` after folding accents."""
-    return norm_name(F.translate(norm_key(c), ACCENTED, PLAIN))
+    """``norm_name`` after folding accents, in one character or as marks behind the letter."""
+    bare = F.translate(norm_key(c), "".join(FOLDED), "".join(FOLDED.values()))
+    return norm_name(F.regexp_replace(bare, r"\p{M}+", ""))
 
 
 def squeeze_name(c: Column) -> Column:

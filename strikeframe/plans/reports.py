@@ -12,7 +12,7 @@ from strikeframe.functions import names as N
 from strikeframe.functions import text as X
 from strikeframe.operators import aggregates as A
 from strikeframe.operators import joins, predicates, topk, windows
-from strikeframe.plans import marts, slate
+from strikeframe.plans import marts, projection, slate
 from strikeframe.plans.registry import _as_players, query, t
 from strikeframe.sources import readers, sinks
 
@@ -294,3 +294,39 @@ def bounded_balance(spark, d):
 @query("SELECT p_partkey, lower(p_name) AS key, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS title FROM part")
 def keys_and_titles(spark, d):
     return t(spark, d, "part").select("p_partkey", X.norm_key(F.concat(F.lit(" "), F.col("p_name"))).alias("key"), X.title_key(F.col("p_type")).alias("title"))
+
+
+# Projections
+
+_H = "substr(md5(CAST({} AS VARCHAR)), 1, 12)"
+_PROJECTION_SQL = f"""WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS s, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 1 ELSE c_custkey - 1 END AS o FROM customer),
+ids AS (SELECT k, CASE WHEN k % 20 = 0 THEN 'f' || (k + 1) WHEN k % 10 <> 0 THEN 'f' || k END AS id, CASE WHEN k % 20 = 0 THEN 'alias:1.00' WHEN k % 10 <> 0 THEN 'exact:1.00' ELSE 'none:0.00' END AS m FROM c),
+l AS (SELECT 'f' || o_custkey AS id, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS f FROM orders GROUP BY 1),
+p AS (SELECT c.k, c.o, a.id, b.id AS oid, a.m, coalesce(b.m, 'none:0.00') AS om, b.k IS NOT NULL AS there, coalesce(x.f % 10, 0) AS sx, coalesce(y.f % 10, 0) AS sy, coalesce(x.f % 7, 0) AS nx, coalesce(y.f % 7, 0) AS ny, coalesce(x.f % 2, 0) AS five
+ FROM c JOIN ids a ON c.k = a.k LEFT JOIN ids b ON c.o = b.k LEFT JOIN l x ON x.id = a.id LEFT JOIN l y ON y.id = b.id),
+q AS (SELECT *, id IS NOT NULL AND oid IS NOT NULL AS ok, 1 / (1 + exp(-(0.2::DOUBLE * (sx - sy) + 0.1::DOUBLE * (nx - ny) + 0.05::DOUBLE))) AS pw, 1 / (1 + exp(-(0.3::DOUBLE * (sx - sy) - 0.4::DOUBLE))) AS pf FROM p)
+SELECT k AS player_id, CASE WHEN there OR k % 3 = 2 THEN 'Ann ' ELSE '' END || {_H.format("o")} AS opponent_name, id AS fighter_id, oid AS opponent_id,
+round(CASE WHEN ok THEN greatest(0.05, least(0.95, pw)) ELSE 0.5 END, 6) AS p_win, round(CASE WHEN ok THEN greatest(0.02, least(0.8, pf)) ELSE 0.35 END, 6) AS p_finish_given_win,
+CASE WHEN ok THEN greatest(0.5, least(8.0, sx)) ELSE 3.0 END::DOUBLE AS pace_sig_land_pm, ok AND five = 1 AS is_5_round,
+CASE WHEN ok THEN 'model_ok' ELSE 'missing_fighter_match' END || ' f=' || m || ' o=' || om AS edge_note FROM q"""
+
+
+@query(_PROJECTION_SQL)
+def projected_players(spark, d):
+    """Every customer as a player of a slate of ten, against the next one; orders are the fights."""
+    short = lambda k: F.substring(F.md5(k.cast("string").cast("binary")), 1, 12)
+    k = F.col("player_id")
+    o = F.when(k % 2 == 0, k + 1).otherwise(k - 1)
+    own, other = short(k), short(o)
+    full = lambda h: F.concat(F.lit("Ann "), h)
+    game = F.when(k % 3 == 1, F.concat(own, F.lit("@"), other, F.lit(" 03/07/2026 06:00PM ET"))).when(k % 3 == 2, F.concat(full(other), F.lit("@"), full(own), F.lit(" 03/07/2026 06:00PM ET")))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("player_id"))
+    players = c.select("player_id", F.floor(k / 10).cast("string").alias("slate_id"), full(own).alias("player_name"), F.when(k % 3 == 0, other).alias("opponent_name"), game.alias("game_info"))
+    fighters = c.where("player_id % 10 <> 0").select(F.concat(F.lit("f"), k).alias("fighter_id"), F.lower(full(own)).alias("name_norm"))
+    aliases = c.where("player_id % 20 = 0").select(F.lit("dk").alias("source"), full(own).alias("raw_name"), F.concat(F.lit("f"), k + 1).alias("fighter_id"))
+    f = F.col("o_orderkey")
+    json = F.to_json(F.struct((f % 10).alias("pre_last3_sig_land_pm"), (f % 7).alias("pre_fights_count"), (f % 2 == 1).alias("is_5_round")))
+    orders = t(spark, d, "orders").select(f.alias("fight_id"), F.col("o_orderdate").alias("fight_date"), F.concat(F.lit("f"), "o_custkey").alias("fighter_id"), json.alias("payload_json"))
+    win = ({"diff_pre_last3_sig_land_pm": 0.2, "diff_pre_fights_count": 0.1}, 0.05)
+    out = projection.projected(players, fighters, aliases, orders.select("fight_id", "fighter_id", "payload_json"), orders.select("fight_id", "fight_date"), win, ({"diff_pre_last3_sig_land_pm": 0.3}, -0.4))
+    return out.select("player_id", "opponent_name", "fighter_id", "opponent_id", F.round("p_win", 6).alias("p_win"), F.round("p_finish_given_win", 6).alias("p_finish_given_win"), "pace_sig_land_pm", "is_5_round", "edge_note")
