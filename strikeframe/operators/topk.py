@@ -22,6 +22,12 @@ def leaders(df: DataFrame, ident: str, metrics: list[str], n: int = 10) -> DataF
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def random_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """n rows in the order of a seeded digest of their key: chance by the seed, but the same when a task is run again."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    return df.orderBy(digest, key).limit(n)
+
+
 def diversified(lineups: DataFrame, n: int, size: int, order: list[Column | str], min_unique: int = 1, max_exposure: float = 1.0) -> list[tuple]:
     """(rank, *columns) of the best lineups by ``order``: each shares at most ``size - min_unique`` of its ``members``
     with any that is taken, and no member is in more than its part of n.

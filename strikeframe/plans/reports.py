@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strikeframe.functions import display
 from strikeframe.functions import domain as D
 from strikeframe.functions import names as N
 from strikeframe.functions import text as X
@@ -330,3 +331,42 @@ def projected_players(spark, d):
     win = ({"diff_pre_last3_sig_land_pm": 0.2, "diff_pre_fights_count": 0.1}, 0.05)
     out = projection.projected(players, fighters, aliases, orders.select("fight_id", "fighter_id", "payload_json"), orders.select("fight_id", "fight_date"), win, ({"diff_pre_last3_sig_land_pm": 0.3}, -0.4))
     return out.select("player_id", "opponent_name", "fighter_id", "opponent_id", F.round("p_win", 6).alias("p_win"), F.round("p_finish_given_win", 6).alias("p_finish_given_win"), "pace_sig_land_pm", "is_5_round", "edge_note")
+
+
+# Display, samples and logs
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN '-' ELSE printf('%.2f', s_acctbal) END AS balance, printf('%.1f', (s_suppkey % 16) * 6.25 * 2) || '%' AS share,
+CAST(s_suppkey % 90 + 1 AS VARCHAR) || ' lb' AS weight FROM supplier""")
+def shown_figures(spark, d):
+    k = F.col("s_suppkey")
+    balance = display.fixed(F.when(k % 9 != 0, F.col("s_acctbal")))
+    return t(spark, d, "supplier").select("s_suppkey", balance.alias("balance"), display.percent_of((k % 16) / 8.0).alias("share"), display.whole_units(k % 90 + 0.5, "lb").alias("weight"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY, '%-m/%-d/%Y') || ', 1:30:00 AM' END AS shown FROM orders""")
+def local_times(spark, d):
+    iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T16:30:00Z"))
+    return t(spark, d, "orders").select("o_orderkey", display.local_time(F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(iso), "Asia/Tokyo").alias("shown"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 8")
+def sampled_parts(spark, d):
+    return topk.random_sample(t(spark, d, "part"), 8, "p_partkey", 7).select("p_partkey", "p_name")
+
+
+_STATES = """SELECT n_nationkey AS target, n_nationkey % 4 <> 1 AS was, n_nationkey % 4 <> 2 AS is_, n_name, CAST(n_regionkey AS VARCHAR) AS r, n_nationkey % 3 = 0 AS moved FROM nation"""
+
+
+@query(f"""SELECT 'admin' AS actor, target, 'n_name' AS action, CASE WHEN was THEN n_name END AS old_value, CASE WHEN is_ THEN n_name END AS new_value FROM ({_STATES}) WHERE was <> is_
+UNION ALL SELECT 'admin', target, 'n_regionkey', CASE WHEN was THEN r END, CASE WHEN is_ THEN CASE WHEN NOT moved THEN r END END FROM ({_STATES}) WHERE (CASE WHEN was THEN r END) IS DISTINCT FROM (CASE WHEN is_ AND NOT moved THEN r END)""")
+def audit_log(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    k = F.col("n_nationkey")
+    new = n.where(k % 4 != 2).withColumn("n_regionkey", F.when(k % 3 != 0, F.col("n_regionkey")))
+    return sinks.audit_entries(n.where(k % 4 != 1), new, "n_nationkey", ["n_name", "n_regionkey"], "admin", F.current_timestamp()).drop("created_at")
+
+
+@query("SELECT 'customers' AS key, CAST(count(*) AS VARCHAR) AS value FROM customer UNION ALL SELECT 'last', max(c_name) FROM customer")
+def build_metadata(spark, d):
+    return sinks.key_values(t(spark, d, "customer").agg(F.count("*").alias("customers"), F.max("c_name").alias("last")))

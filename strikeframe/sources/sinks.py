@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,27 @@ def work_done(queue: DataFrame, results: DataFrame, most_attempts: int) -> DataF
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in queue.columns])
 
 
+def audit_entries(old: DataFrame, new: DataFrame, key: str, columns: list[str], actor: str, at: Column) -> DataFrame:
+    """An entry for each column of a key that differs between two states of a table, rows that came or went included.
+
+    A column's values are compared as text, nulls alike; entries are only ever appended, with ``append_log``.
+    """
+    def long(df: DataFrame, value: str) -> DataFrame:
+        return df.unpivot([key], [F.col(c).cast("string").alias(c) for c in columns], "action", value)
+
+    both = long(old, "old_value").join(long(new, "new_value"), [key, "action"], "full").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    return both.select(F.lit(actor).alias("actor"), F.col(key).alias("target"), "action", "old_value", "new_value", at.alias("created_at"))
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    entries.write.mode("append").parquet(path)
+
+
+def key_values(figures: DataFrame) -> DataFrame:
+    """The columns of a frame of one row as rows of key and value, as build metadata is kept."""
+    return figures.select([F.col(c).cast("string").alias(c) for c in figures.columns]).unpivot([], figures.columns, "key", "value")
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """Rows as JSON texts, for a file of one document a line."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -72,3 +72,20 @@ def test_folded_letters(spark):
     df = spark.createDataFrame([("Błachowicz  Jiří",), ("Ș. Nguyễn-é",)], "n string")
     # a stroke is no mark, so the letter parts words
     assert [r[0] for r in df.select(X.norm_name_folded(df.n)).collect()] == ["b achowicz jiri", "s nguyen-e"]
+
+
+def test_log_and_marks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strikeframe.functions import display
+    from strikeframe.sources import sinks
+
+    old = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    new = spark.createDataFrame([(1, "b"), (2, None), (3, "c")], "k int, v string")
+    for _ in range(2):
+        sinks.append_log(sinks.audit_entries(old, new, "k", ["v"], "me", F.lit("now")), str(tmp_path / "log"))
+    kept = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).collect())
+    assert kept == sorted([("me", 1, "v", "a", "b", "now"), ("me", 3, "v", None, "c", "now")] * 2, key=lambda x: x[1])
+    marks = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (0.5,)], "x double")
+    shown = [r[0] for r in marks.select(F.concat_ws(" ", display.fixed(marks.x), display.percent_of(marks.x, 0), display.whole_units(marks.x, "in"))).collect()]
+    assert shown == ["- - —"] * 3 + ["0.50 50% 1 in"]
