@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, html_text, jaccard, pii, quality, substring, topk, toxicity, warc
+from strikeframe.llm import bpe, decontaminate, divergence, html_text, jaccard, pii, quality, substring, topk, toxicity, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that mark each of them."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+h AS (SELECT lang, unnest(list_distinct(terms)) AS term FROM d),
+k AS (SELECT lang, term FROM h GROUP BY lang, term HAVING count(*) >= 30),
+o AS (SELECT lang, source, unnest(terms) AS term FROM d),
+c AS (SELECT o.lang, o.source, o.term, CAST(count(*) AS HUGEINT) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT z.lang, z.source, z.term, z.n, v.v, sum(z.n) OVER (PARTITION BY z.lang, z.source) AS total,
+    sum(z.n) OVER (PARTITION BY z.lang, z.term) AS lang_n, sum(z.n) OVER (PARTITION BY z.lang) AS lang_total
+  FROM z JOIN v USING (lang)
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // CAST(total + 5 * v AS HUGEINT) AS p,
+    1 + (1000000000 * CAST(lang_n + 5 AS HUGEINT)) // CAST(lang_total + 5 * v AS HUGEINT) AS q FROM s
+), w AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(w.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM t WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -140,8 +174,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op9_exact_top_k": OP9_SQL, "op11_source_divergence": OP11_SQL}
