@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeframe.llm import bpe, decontaminate, divergence, html_text, jaccard, pii, quality, substring, topk, toxicity, warc
+from strikeframe.llm import bpe, decontaminate, divergence, html_text, jaccard, negatives, pii, quality, rules, substring, topk, toxicity, warc
 from strikeframe.llm.common import crc_fold, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +162,44 @@ SELECT lang, source, part, item, value, rank FROM t WHERE part = 'pair' OR rank
 """
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text of documents and the verdict of the learned rules."""
+    return rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_fold("doc_id", 4) != 2)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth embedding; every seventh label is wrong by one."""
+    told = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    known = topk.usable("embedding") & F.col("label").isNotNull()
+    rows = table(spark, sf_dir, "embeddings").where(known).select("vec_id", told.alias("label"), topk.floored("embedding").alias("vector"))
+    return negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE label = anchor_label
+), n AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -175,8 +213,10 @@ def queries() -> dict[str, Query]:
         "op9_exact_top_k": op9_exact_top_k,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_source_divergence": op11_source_divergence,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_exact_top_k": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op2_warc": OP2_SQL, "op9_exact_top_k": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
