@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeframe.sources.scratch import written
+
 
 def rolling_prior(df: DataFrame, by: list[str], order: list[Column | str], measures: list[str], spans: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """Averages of the last rows, and of all rows, before each row, and their number. One sort serves all frames."""
@@ -26,26 +28,27 @@ def sides(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
     return first_n(df, by, order, 2, "__n__").withColumn("side", F.when(F.col("__n__") == 1, "A").otherwise("B")).drop("__n__")
 
 
-def global_order(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+def global_order(df: DataFrame, order: list[Column | str], out: str = "position") -> DataFrame:
     """Rows numbered in one order over the whole table, without a task that holds it all.
 
-    Rows are dealt by ranges of the first order column, with bounds from an approximate percentile; each range's count
-    gives the next one's first number. Rows that agree in that column are in one range.
+    Rows are dealt by ranges of all order columns, whatever their types, and sorted within their range; the ranges'
+    counts give each one's first number. Rows that agree in all order columns are told apart by their place in the
+    input, so that a value of half the table is dealt to many ranges, too. The dealt rows are written, since ranges
+    come from a sample and would differ if they were drawn twice.
     """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)])).first()[0] or []
-    below = F.lit(0)
-    for bound in sorted(set(bounds)):
-        below = below + F.coalesce((F.col(order[0]) > F.lit(bound)).cast("int"), F.lit(0))
-    dealt = df.withColumn("__part__", below)
-    counts = {r["__part__"]: r["count"] for r in dealt.groupBy("__part__").count().collect()}
-    before, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(part, 0)
-    offset = F.element_at(F.array(*[F.lit(b) for b in before or [0]]), F.col("__part__") + 1)
-    w = Window.partitionBy("__part__").orderBy(*order)
-    return dealt.withColumn(out, F.row_number().over(w).cast("long") + offset).drop("__part__")
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("__tie__", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(parts, *keys, "__tie__").sortWithinPartitions(*keys, "__tie__").drop("__tie__")
+    # the id of a row is that of its range, times 2^33, and its place there
+    placed = written(dealt.withColumn("__at__", F.monotonically_increasing_id()), "order")
+    placed = placed.withColumns({"__part__": F.shiftright("__at__", 33), "__at__": F.col("__at__").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("__part__").count()
+    before = F.sum("count").over(Window.orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part__", F.coalesce(before, F.lit(0)).alias("__before__"))
+    # as many rows as there are ranges at most
+    numbered = placed.join(F.broadcast(offsets), "__part__").withColumn(out, F.col("__before__") + F.col("__at__") + 1)
+    return numbered.select(*(c for c in df.columns if c != out), out)
 
 
 def gap_pick(df: DataFrame, by: list[str], score: str, tie: list[str], gap: float) -> DataFrame:
@@ -75,5 +78,5 @@ def share(df: DataFrame, by: list[str], column: str, out: str = "share") -> Data
 
 
 def ranked_strings(df: DataFrame, column: str, out: str = "position") -> DataFrame:
-    """Distinct texts numbered in order; there are few, so one task numbers them."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(column)).cast("long"))
+    """Distinct texts numbered in order."""
+    return global_order(df.select(column).distinct(), [column], out)

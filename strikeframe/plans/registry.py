@@ -60,6 +60,21 @@ def global_order(spark, d):
     return windows.global_order(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "position")
 
 
+@query("SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment DESC, c_name DESC, c_custkey) AS BIGINT) AS position FROM customer")
+def global_order_text(spark, d):
+    """An order by texts, falling, of few values and many."""
+    order = [F.desc("c_mktsegment"), F.desc("c_name"), "c_custkey"]
+    return windows.global_order(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), order).select("c_custkey", "c_mktsegment", "position")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '1998-01-01' WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS day FROM orders)
+SELECT o_orderkey, CAST(row_number() OVER (ORDER BY day NULLS FIRST, o_orderkey) AS BIGINT) AS position FROM r""")
+def global_order_hot(spark, d):
+    """An order in which half of the rows have one date and a fourteenth has none."""
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.lit("1998-01-01").cast("timestamp")).when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate").cast("timestamp"))
+    return windows.global_order(t(spark, d, "orders").select("o_orderkey", day.alias("day")), ["day", "o_orderkey"]).select("o_orderkey", "position")
+
+
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def latest_per_key(spark, d):
     rows = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
