@@ -109,8 +109,9 @@ def searched(asked: Anchors, ids: np.ndarray, labels: np.ndarray, vectors: np.nd
 
 def _pairs(anchors: DataFrame, rows: DataFrame, n_blocks: int, width: int, k: int, same: bool, score_type: str, windows_of: Callable) -> DataFrame:
     """Every block of anchors with every stretch that is long enough for it: id, window, row and score."""
-    dealt = anchors.repartitionByRange(n_blocks, "need", "id").withColumn("block", F.spark_partition_id())
-    dealt = written(dealt, "negatives-anchors")
+    dealt = written(anchors.repartitionByRange(n_blocks, "need", "id").withColumn("part", F.spark_partition_id()), "negatives-anchors")
+    parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1  # Spark may deal to more or fewer parts than it is asked for
+    dealt = dealt.withColumn("block", F.floor(F.col("part") * n_blocks / parts).cast("int")).drop("part")
     blocks = dealt.groupBy("block").agg(F.min("need").alias("need"))
     stretches = rows.groupBy("stretch").agg(F.max("norm").alias("longest"))
     meet = F.col("longest") * (1 + SLACK) >= F.col("need")
