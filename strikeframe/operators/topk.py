@@ -1,9 +1,7 @@
-"""Sorting, paging, leaderboards and diversified selection."""
+"""Sorting, paging and leaderboards."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,41 +26,9 @@ def random_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(digest, key).limit(n)
 
 
-def diversified(lineups: DataFrame, n: int, size: int, order: list[Column | str], min_unique: int = 1, max_exposure: float = 1.0) -> list[tuple]:
-    """(rank, *columns) of the best lineups by ``order``: each shares at most ``size - min_unique`` of its ``members``
-    with any that is taken, and no member is in more than its part of n.
-
-    The choice is sequential by nature: each of the n rounds is a Spark job over the lineups that are still allowed,
-    of which one row comes to the driver.
-    """
-    cap = max(1, round(n * max_exposure))
-    held, used, out = lineups.persist(), Counter(), []
-    left = held
-    try:
-        while len(out) < n and (best := left.orderBy(*order).limit(1).collect()):
-            row = tuple(best[0])
-            members = list(best[0]["members"])
-            out.append((len(out) + 1, *row))
-            used.update(members)
-            full = [m for m in members if used[m] == cap]
-            left = left.where(F.size(F.array_intersect("members", F.array(*map(F.lit, members)))) <= size - min_unique)
-            if full:
-                left = left.where(~F.arrays_overlap("members", F.array(*map(F.lit, full))))
-    finally:
-        held.unpersist()
-    return out
-
-
 def sorted_by(df: DataFrame, column: str, ties: list[str], descending: bool = False) -> DataFrame:
     """Ordered by a column that the caller names: text in any case, numbers as such, nulls last."""
     if column not in df.columns:
         raise ValueError(f"unknown column {column!r}")
     c = F.lower(column) if df.schema[column].dataType.simpleString() == "string" else F.col(column)
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *ties)
-
-
-def exposures(chosen: DataFrame, members: str = "members") -> DataFrame:
-    """How many of the chosen lineups each member is in, and their share."""
-    total = chosen.count()
-    counts = chosen.select(F.explode(members).alias("member")).groupBy("member").agg(F.count("*").alias("n"))
-    return counts.withColumn("exposure", F.col("n") / F.lit(max(1, total)))

@@ -12,7 +12,7 @@ from strikeframe.functions import parse as P
 from strikeframe.functions import text as X
 from strikeframe.operators import aggregates as A
 from strikeframe.operators import audit, joins, predicates, reshape, topk, windows
-from strikeframe.plans import model, slate
+from strikeframe.plans import lineups, model, slate
 from strikeframe.sources import readers, sinks
 from strikeframe.streaming import events as streams
 
@@ -430,6 +430,11 @@ def _players(spark: SparkSession, d: str) -> DataFrame:
     return _as_players(t(spark, d, "customer").orderBy("c_custkey").limit(26))
 
 
+def _slates(spark: SparkSession, d: str) -> DataFrame:
+    """All customers as players, in slates of 26 by key."""
+    return _as_players(t(spark, d, "customer")).withColumn("slate_id", F.floor(F.col("player_id").cast("long") / 26))
+
+
 def _as_players(s: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     mean = 40.0 + k % 17 * 3
@@ -449,13 +454,19 @@ def player_scores(spark, d):
 @query()
 def slate_analysis(spark, d):
     """All customers, in slates of 26 by key."""
-    players = _as_players(t(spark, d, "customer")).withColumn("slate_id", F.floor(F.col("player_id").cast("long") / 26))
-    return slate.analysed(players, slate="slate_id")
+    return slate.analysed(_slates(spark, d), slate="slate_id")
 
 
 @query()
 def optimized_lineups(spark, d):
-    return slate.optimized(_players(spark, d), n=20)
+    """The lineups of all customers, in slates of 26 by key."""
+    return lineups.optimized(_slates(spark, d), "slate_id")
+
+
+@query()
+def lineup_exposures(spark, d):
+    """How often each player of a slate is in its lineups, when any two of them differ by two players."""
+    return lineups.exposures(lineups.optimized(_slates(spark, d), "slate_id", mode="cash", min_unique=2, max_exposure=0.5))
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strikeframe.functions import domain as D
 from strikeframe.functions.text import game_info, pair_key
-from strikeframe.operators.topk import diversified, leaders
+from strikeframe.operators.topk import leaders
 
 
 def fight_map(players: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def feasible_lineups(
     """All sets of ``size`` players within the salary range and the risk, of distinct fights; members, salary, score.
 
     A join of rising positions for each seat, cut short as soon as the cheapest or dearest rest can't make the range.
-    The pool is one slate, some dozens of players, so each join has it on the small side by Spark's own estimate.
+    The pool is one slate, some dozens of players, so each join has it on the small side by Spark's own estimate. For
+    the best sets alone see ``lineups.optimized``.
     """
     valid = players.where((F.col("salary") > 0) & (F.length("player_id") > 0) & (F.length("fight_id") > 0))
     pool = valid.select("player_id", "fight_id", F.col("salary").cast("long").alias("salary"), F.coalesce("risk", F.lit(0.0)).alias("risk"), score.alias("s"))
@@ -111,12 +112,3 @@ def feasible_lineups(
         )
     sets = sets.where(F.col("salary").between(floor, cap) & (F.col("risk") <= size * max_avg_risk))
     return sets.select("members", "salary", "risk", "score")
-
-
-def optimized(
-    players: DataFrame, mode: str = "gpp", n: int = 20, size: int = 6, ownership_weight: float = 0.0, min_unique: int = 1, max_exposure: float = 0.65, **rules
-) -> DataFrame:
-    """The best n lineups, each unlike the others and no player in too many."""
-    every = feasible_lineups(players, D.player_score(mode, ownership_weight), size, **rules)
-    rows = diversified(every, n, size, [F.desc("score"), F.desc("salary"), "members"], min_unique, max_exposure)
-    return players.sparkSession.createDataFrame(rows, "rank int, members array<string>, salary long, risk double, score double")
