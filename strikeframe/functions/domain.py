@@ -82,7 +82,7 @@ def player_score(mode: str = "gpp", weight: float = 0.0) -> Column:
 
 
 def ownership_leverage(ceiling: Column, mean: Column, value: Column, own: Column) -> Column:
-    return (0.65 * ceiling + 0.35 * mean) * (0.5 + value / 12.0) / own
+    return (0.65 * ceiling + 0.35 * mean) * (0.5 + value / 12.0) / F.greatest(F.lit(1.0), own)
 
 
 def pivot_score(ceiling: Column, mean: Column, own: Column) -> Column:

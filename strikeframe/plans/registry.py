@@ -451,12 +451,6 @@ def player_scores(spark, d):
     return _as_players(t(spark, d, "customer")).select("player_id", D.player_score("gpp").alias("score"))
 
 
-@query()
-def slate_analysis(spark, d):
-    """All customers, in slates of 26 by key."""
-    return slate.analysed(_slates(spark, d), slate="slate_id")
-
-
 @query()
 def optimized_lineups(spark, d):
     """The lineups of all customers, in slates of 26 by key."""

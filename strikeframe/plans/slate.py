@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from strikeframe.functions import domain as D
 from strikeframe.functions.text import game_info, pair_key
-from strikeframe.operators.topk import leaders
 
 
 def fight_map(players: DataFrame) -> DataFrame:
@@ -38,29 +37,85 @@ def with_odds(players: DataFrame, odds: DataFrame | None, sequence: str = "money
     return out.withColumn("p_win", D.blend(D.implied_probability(F.col("moneyline")), F.col("p_win")))
 
 
-def analysed(players: DataFrame, total: float = 260.0, slate: str | None = None) -> DataFrame:
-    """Ownership scaled to the total and clamped, tiers, leverage and pivot scores; by the key of the slate, if any."""
-    keyed = players.withColumn("__slate__", F.col(slate) if slate else F.lit(0))
-    sums = keyed.groupBy("__slate__").agg(F.sum("own_proj").alias("__own__"), *[F.percentile(c, [0.25, 0.5, 0.75, 0.9]).alias(f"__p_{c}__") for c in ("proj_mean", "proj_ceiling", "proj_floor")])
-    keyed = keyed.withColumn("__k__", F.coalesce(F.col("__slate__").cast("string"), F.lit(""))).drop("__slate__")
-    sums = sums.withColumn("__k__", F.coalesce(F.col("__slate__").cast("string"), F.lit(""))).drop("__slate__")
-    scale = F.when(F.col("__own__") != 0, total / F.col("__own__")).otherwise(1.0)
-    raw = F.col("own_proj") * scale
-    own = D.clamp(raw, 0.5, 55.0)
-    marks = {c: [F.coalesce(F.get(f"__p_{c}__", F.lit(i)), F.lit(0.0)) for i in range(4)] for c in ("proj_mean", "proj_ceiling", "proj_floor")}
-    m, c, f = (F.col(x) for x in ("proj_mean", "proj_ceiling", "proj_floor"))
-    rows = keyed.join(sums, "__k__").withColumns(
+#: What ownership adds up to, its bounds, and the bounds of tiers.
+OWN_TOTAL, LEAST_OWN, MOST_OWN = 260.0, 0.5, 55.0
+MEGA_OWN, HIGH_OWN, MID_OWN = 35.0, 22.0, 12.0
+LOW_RISK, MID_RISK = 0.27, 0.33
+PUNT_SALARY, MID_SALARY = 7200, 8600
+CHALK_FIGHT, CHALK_SIDE = 55.0, 35.0
+
+
+def _figure(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+
+def marks(players: DataFrame, slate: str) -> DataFrame:
+    """A slate's ownership sum and percentiles: a row for each slate, under the name ``__slate__``."""
+    quarters = {"value": [0.25, 0.5, 0.75], "proj_ceiling": [0.5, 0.75, 0.9], "proj_floor": [0.5, 0.75], "own_proj": [0.5, 0.75, 0.9]}
+    return players.groupBy(F.coalesce(F.col(slate).cast("string"), F.lit("")).alias("__slate__")).agg(
+        F.count("*").alias("count"), F.sum(_figure("own_proj")).alias("own_sum"), *[F.percentile(_figure(c), q).alias(f"p_{c}") for c, q in quarters.items()]
+    )
+
+
+def owned(players: DataFrame, slate: str, total: float = OWN_TOTAL) -> DataFrame:
+    """Ownership scaled to the slate's total and clamped, with its tier, leverage and pivot score.
+
+    A slate without any ownership keeps what it has, and has neither leverage nor pivot scores.
+    """
+    sums = players.groupBy(F.coalesce(F.col(slate).cast("string"), F.lit("")).alias("__slate__")).agg(F.sum(_figure("own_proj")).alias("__own__"))
+    rows = players.withColumn("__slate__", F.coalesce(F.col(slate).cast("string"), F.lit(""))).join(sums, "__slate__").drop("__slate__")
+    any_ = F.col("__own__") > 0
+    own = F.when(any_, D.clamp(_figure("own_proj") * (total / F.nullif(F.col("__own__"), F.lit(0.0))), LEAST_OWN, MOST_OWN)).otherwise(_figure("own_proj"))
+    rows = rows.withColumn("own_proj", own)
+    o, m, c = F.col("own_proj"), _figure("proj_mean"), _figure("proj_ceiling")
+    return rows.withColumns(
         {
-            "own_tier": F.when(raw >= 35, "chalk").when(raw >= 22, "popular").when(raw >= 12, "medium").otherwise("low"),
-            "risk_tier": F.when(F.col("risk") < 0.27, "low").when(F.col("risk") < 0.33, "medium").otherwise("high"),
-            "salary_tier": F.when(F.col("salary") >= 8600, "high").when(F.col("salary") >= 7200, "middle").otherwise("low"),
-            "ceiling_tier": F.when(c >= marks["proj_ceiling"][3], "elite").when(c >= marks["proj_ceiling"][2], "high").when(c >= marks["proj_ceiling"][1], "middle").otherwise("low"),
-            "floor_tier": F.when(f >= marks["proj_floor"][2], "high").when(f >= marks["proj_floor"][1], "middle").otherwise("low"),
-            "mean_tier": F.when(m >= marks["proj_mean"][2], "top").when(m >= marks["proj_mean"][1], "upper").when(m >= marks["proj_mean"][0], "lower").otherwise("bottom"),
+            "own_tier": F.when(o >= MEGA_OWN, "Mega").when(o >= HIGH_OWN, "High").when(o >= MID_OWN, "Mid").otherwise("Low"),
+            "leverage": F.when(any_, D.ownership_leverage(c, m, _figure("value"), o)),
+            "pivot_score": F.when(any_, D.pivot_score(c, m, o)),
         }
-    ).withColumn("own_proj", own)
-    rows = rows.withColumns({"leverage": D.ownership_leverage(c, m, F.col("value"), F.col("own_proj")), "pivot": D.pivot_score(c, m, F.col("own_proj"))})
-    return rows.drop("__k__", "__own__", *[f"__p_{x}__" for x in marks])
+    ).drop("__own__")
+
+
+def analysed(players: DataFrame, slate: str, total: float = OWN_TOTAL) -> DataFrame:
+    """``owned`` players with the tiers of salary, value, ceiling, floor and risk within their slate."""
+    rows = owned(players, slate, total).withColumn("__slate__", F.coalesce(F.col(slate).cast("string"), F.lit("")))
+    tops = marks(players, slate).drop("count", "own_sum", "p_own_proj")
+    v, c, f, r, s = (_figure(x) for x in ("value", "proj_ceiling", "proj_floor", "risk", "salary"))
+    at = lambda name, k: F.col(f"p_{name}")[k]
+    return rows.join(tops, "__slate__").withColumns(
+        {
+            "tier_salary": F.when(s <= PUNT_SALARY, "Punt").when(s <= MID_SALARY, "Mid").otherwise("Stud"),
+            "tier_value": F.when(v >= at("value", 2), "Elite").when(v >= at("value", 1), "Strong").when(v >= at("value", 0), "OK").otherwise("Bad"),
+            "tier_ceiling": F.when(c >= at("proj_ceiling", 2), "SlateBreaker").when(c >= at("proj_ceiling", 1), "GPP").when(c >= at("proj_ceiling", 0), "Neutral").otherwise("Low"),
+            "tier_floor": F.when(f >= at("proj_floor", 1), "Safe").when(f >= at("proj_floor", 0), "OK").otherwise("Shaky"),
+            "tier_risk": F.when(r <= LOW_RISK, "Low").when(r <= MID_RISK, "Med").otherwise("High"),
+        }
+    ).drop("__slate__", "p_value", "p_proj_ceiling", "p_proj_floor")
+
+
+def fight_report(players: DataFrame, slate: str, side: str = "side") -> DataFrame:
+    """A row for each fight of a slate, of ``owned`` players: its first two sides, sums, the more popular side, and flags."""
+    of = players.where(F.coalesce(F.col("fight_id"), F.lit("")) != "")
+    one = F.struct(F.coalesce(F.col(side), F.lit("")).alias("side"), "player_id", *[_figure(c).alias(c) for c in ("proj_mean", "proj_ceiling", "value", "own_proj")])
+    fights = of.groupBy(F.coalesce(F.col(slate).cast("string"), F.lit("")).alias("__slate__"), "fight_id").agg(F.slice(F.sort_array(F.collect_list(one)), 1, 2).alias("ps"))
+
+    def each(name: str) -> list[Column]:
+        return [F.coalesce(F.get("ps", F.lit(k))[name], F.lit(0.0)) for k in (0, 1)]
+
+    mean, ceiling, value, own = (each(c) for c in ("proj_mean", "proj_ceiling", "value", "own_proj"))
+    tops = marks(players, slate).select("__slate__", "p_value", "p_proj_ceiling")
+    low, middle, high, best = F.col("p_value")[0], F.col("p_value")[1], F.col("p_value")[2], F.col("p_proj_ceiling")[2]
+    chalk = F.when(own[0] >= own[1], "A").otherwise("B")
+    flags = [
+        (F.greatest(*ceiling) >= best, F.lit("HighCeilingWinner")), (F.greatest(*value) >= high, F.lit("ValueSide")), ((F.least(*value) <= low) & (F.greatest(*value) <= middle), F.lit("LowValueFight")),
+        (own[0] + own[1] >= CHALK_FIGHT, F.lit("ChalkFight")), (F.greatest(*own) >= CHALK_SIDE, F.concat(F.lit("ChalkSide:"), chalk)),
+    ]
+    return fights.join(tops, "__slate__").select(
+        F.col("__slate__").alias("slate"), "fight_id", F.get("ps", F.lit(0))["player_id"].alias("a_id"), F.get("ps", F.lit(1))["player_id"].alias("b_id"), (mean[0] + mean[1]).alias("fight_mean"),
+        F.greatest(*ceiling).alias("fight_ceiling"), D.stack_score(mean[0] + mean[1], ceiling[0] + ceiling[1]).alias("stack_score"), (own[0] + own[1]).alias("fight_own"), chalk.alias("chalk_side"),
+        F.greatest(*own).alias("chalk_own"), F.array_compact(F.array(*[F.when(test, name) for test, name in flags])).alias("flags"),
+    )
 
 
 def fights(players: DataFrame) -> DataFrame:
@@ -75,8 +130,17 @@ def fights(players: DataFrame) -> DataFrame:
     )
 
 
-def leaderboards(players: DataFrame, n: int = 10) -> DataFrame:
-    return leaders(players, "player_id", ["proj_mean", "proj_ceiling", "value", "proj_floor", "risk", "own_proj", "leverage"], n)
+#: The boards of a slate and the figure that each goes by.
+BOARDS = {
+    "top_mean": "proj_mean", "top_ceiling": "proj_ceiling", "top_value": "value", "best_floor": "proj_floor", "highest_risk": "risk", "top_ownership": "own_proj", "top_leverage": "leverage",
+}
+
+
+def leaderboards(players: DataFrame, slate: str, n: int = 10) -> DataFrame:
+    """The first n players of each board of each slate, of ``owned`` players; ties go to the smaller id, missing figures count as 0."""
+    long = players.select(slate, "player_id", *[_figure(c).alias(b) for b, c in BOARDS.items()]).unpivot([slate, "player_id"], list(BOARDS), "board", "figure")
+    w = Window.partitionBy(slate, "board").orderBy(F.desc("figure"), "player_id")
+    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def feasible_lineups(

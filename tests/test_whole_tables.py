@@ -1,29 +1,12 @@
 """Queries over all customers, and the steps of the model."""
 
-import os
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from strikeframe.operators import windows
-from strikeframe.plans import model, registry, slate
+from strikeframe.plans import model
 from strikeframe.sources import sinks
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-def test_all_customers(spark):
-    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
-    assert n > 26
-    got = registry.QUERIES["slate_analysis"](spark, DATA)
-    assert got.count() == n
-    # the first slate by itself has the same figures
-    alone = slate.analysed(registry._players(spark, DATA))
-    first = got.where("slate_id = 0").select(*alone.columns)
-    order = lambda df: sorted(map(tuple, df.collect()))
-    assert order(first) == order(alone) and first.count() == 26
-
-
 def test_model_as_numpy_fits_it(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
