@@ -163,5 +163,50 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(200.0 * common_subsequence(x, y) / both)
 
 
+def sorted_tokens(c: Column) -> Column:
+    """The words in order of the alphabet."""
+    return F.array_join(F.array_sort(tokens(c)), " ")
+
+
+def sorted_letters(c: Column) -> Column:
+    """The characters of ``sorted_tokens`` in order, numbered by occurrence, so that they make a set."""
+    letters = F.array_sort(F.filter(F.split(sorted_tokens(c), ""), lambda x: x != ""))
+    return F.transform(F.array(letters), lambda ls: F.transform(ls, lambda x, i: F.concat(x, (i - F.array_position(ls, x) + 1).cast("string"))))[0]
+
+
+#: What normal names are made of, and the longest of them whose rows of bits fit a number without its sign and carry.
+NAME_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 '-"
+LONGEST_ROW = 60
+
+
+def letter_rows(c: Column) -> Column:
+    """For each of NAME_CHARACTERS the places of ``sorted_tokens`` that have it, as bits; null for longer names."""
+    text = sorted_tokens(c)
+    rows = [F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0).cast("long"), _placed(text, x)) for x in NAME_CHARACTERS]
+    return F.when(F.length(text).between(1, LONGEST_ROW), F.array(*rows))
+
+
+def _placed(text: Column, x: str):
+    return lambda bits, i: bits.bitwiseOR(F.when(F.substring(text, i, F.lit(1)) == x, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long")))
+
+
+def letter_places(c: Column) -> Column:
+    """Each character of ``sorted_tokens`` as its place among NAME_CHARACTERS, from 0."""
+    return F.transform(F.filter(F.split(sorted_tokens(c), ""), lambda x: x != ""), lambda x: F.call_function("instr", F.lit(NAME_CHARACTERS), x) - 1)
+
+
+def subsequence_of(a: Column, b: Column, rows: Column, places: Column) -> Column:
+    """Length of the longest common subsequence of two normal names' sorted words, by ``letter_rows`` of the first and
+    ``letter_places`` of the second: a row of the usual table is one number, a bit for each place where it doesn't grow."""
+    size = F.length(sorted_tokens(a))
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+
+    def step(bits: Column, place: Column) -> Column:
+        return F.transform(F.array(bits.bitwiseAND(F.get(rows, place))), lambda u: (bits + u).bitwiseOR(bits - u).bitwiseAND(full))[0]
+
+    short = size - F.bit_count(F.aggregate(places, full, step))
+    return F.when(rows.isNotNull(), short).otherwise(common_subsequence(sorted_tokens(a), sorted_tokens(b)))
+
+
 def salted_hash(salt: Column, secret: Column) -> Column:
     return F.concat(salt, F.lit("$"), F.sha2(F.concat(salt, F.lit(":"), secret), 256))

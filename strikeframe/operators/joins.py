@@ -73,37 +73,77 @@ def token_lookup(tokens: DataFrame, names: DataFrame, token: str, name: str) ->
     return tokens.withColumn("__form__", norm_name(F.col(token))).join(found, "__form__", "left").drop("__form__")
 
 
+#: Most letters of a key of ``similar_pairs``.
+LETTERS_A_KEY = 3
+
+
+def _combinations(items: Column, size: int) -> Column:
+    """All ways to take ``size`` (1 to 3) of the items in their order, as texts."""
+    rest = lambda i: F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
+    if size == 1:
+        return items
+    if size == 2:
+        return F.flatten(F.transform(items, lambda a, i: F.transform(rest(i), lambda b: F.concat_ws(",", a, b))))
+    return F.flatten(F.transform(items, lambda a, i: F.flatten(F.transform(rest(i), lambda b, j: F.transform(rest(i + j + 1), lambda c: F.concat_ws(",", a, b, c))))))
+
+
+def _lettered(names: DataFrame, often: DataFrame, least: float) -> DataFrame:
+    """n (the name), size, prefix (its rarest letters, numbered by occurrence) and width, the letters of its keys.
+
+    A name of so many letters shares at least ``need`` with any partner, so that two partners, ordered alike, share
+    ``width`` letters even when each drops all but its first ``size - need + width``.
+    """
+    rank = F.transform("letters", lambda c: F.struct(F.coalesce(F.element_at("often", c), F.lit(0)).alias("n"), c.alias("c")))
+    rows = names.crossJoin(often).select("n", F.transform(F.array_sort(rank), lambda x: x["c"]).alias("letters"))  # ``often`` is one row
+    need = F.ceil(least / (200.0 - least) * F.size("letters") - 1e-9).cast("int")
+    rows = rows.withColumns({"size": F.size("letters"), "width": F.least(F.greatest(need, F.lit(1)), F.lit(LETTERS_A_KEY)), "need": F.greatest(need, F.lit(1))})
+    return rows.where("size > 0").withColumn("prefix", F.slice("letters", 1, F.greatest(F.least(F.col("size"), F.col("size") - F.col("need") + F.col("width")), F.lit(0))))
+
+
+def _keyed(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+    """A row for each key: the partner's width, and as many letters of the prefix as both widths allow."""
+    several = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.least(F.col("width"), F.lit(w)).alias("taken")) for w in range(1, LETTERS_A_KEY + 1)]))
+    told = rows.select(F.col("n").alias(name), F.col("size").alias(f"{name}_size"), F.col("prefix").alias(f"{name}_prefix"), "width", "need", several.alias("x"))
+    prefix = F.col(f"{name}_prefix")
+    short = F.slice(prefix, 1, F.greatest(F.least(F.size(prefix), F.col(f"{name}_size") - F.col("need") + F.col("x.taken")), F.lit(0)))
+    keys = F.when(F.col("x.taken") == 1, _combinations(short, 1)).when(F.col("x.taken") == 2, _combinations(short, 2)).otherwise(_combinations(short, 3))
+    return told.withColumn(f"{name}_prefix", short).select(name, f"{name}_size", f"{name}_prefix", F.col("width").alias(mine), F.col("x.w").alias(other), F.explode(keys).alias("key"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """ln and rn: all pairs of different normal names (column n) that may reach the least token-sort ratio, once each.
+
+    A common subsequence is no longer than what two texts have of each letter. The keys are up to three of a name's
+    rarest letters, so a key is shared by few names however common its letters are alone; a pair is taken at the
+    first key that both have, and only if its lengths allow the score.
+    """
+    from strikeframe.functions.text import sorted_letters
+
+    a, b = (df.select("n").where("n <> ''").distinct().withColumn("letters", sorted_letters(F.col("n"))) for df in (left, right))
+    often = b.select(F.explode("letters").alias("c")).groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("often"))
+    l, r = _keyed(_lettered(a, often, least), "ln", "wl", "wr"), _keyed(_lettered(b, often, least), "rn", "wr", "wl")
+    pairs = l.join(r, ["key", "wl", "wr"]).where(F.col("ln") != F.col("rn"))
+    pairs = pairs.where(200.0 * F.least("ln_size", "rn_size") >= least * (F.col("ln_size") + F.col("rn_size")))
+    both = F.array_intersect("ln_prefix", "rn_prefix")
+    return pairs.where(F.array_join(F.slice(both, 1, F.least("wl", "wr")), ",") == F.col("key")).select("ln", "rn")
+
+
 def fuzzy_top_k(left: DataFrame, right: DataFrame, left_name: str, right_name: str, k: int = 3, least: float = 70.0) -> DataFrame:
     """The k most similar right names of each left name, of all that reach the least score (above 0).
 
-    A common subsequence is no longer than what two texts have of each letter, so the letters, numbered by occurrence,
-    are the join keys. A name's rarest letters, so many that a partner can't lack them all, are enough (a prefix
-    filter); a pair is taken at the first of them that both have, and scored if its letters can reach the score.
+    Names that are equal when normalised are no pair. Candidates are those of ``similar_pairs``, less those whose
+    letters can't reach the score.
     """
-    from strikeframe.functions.text import norm_name, token_sort_ratio, tokens
-
-    def lettered(df: DataFrame, name: str, norm: str) -> DataFrame:
-        named = df.select(F.col(name).alias(norm[0]), norm_name(F.col(name)).alias(norm))
-        letters = F.array_sort(F.filter(F.split(F.array_join(F.array_sort(tokens(F.col(norm))), " "), ""), lambda c: c != ""))
-        return named.withColumn("__all__", F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 1).cast("string"))))
-
-    a, b = lettered(left, left_name, "ln"), lettered(right, right_name, "rn")
-    # a letter's place in the order must only be the same for all names; rare ones first spare pairs
-    often = b.select(F.explode("__all__").alias("letter")).groupBy("letter").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("often"))
-
-    def keyed(df: DataFrame, all_: str, some: str) -> DataFrame:
-        rank = F.transform("__all__", lambda c: F.struct(F.coalesce(F.element_at("often", c), F.lit(0)).alias("n"), c.alias("c")))
-        # least / (200 - least) of a text's length is the shortest that a partner can be
-        need = F.ceil(least / (200.0 - least) * F.size("__all__") - 1e-9)
-        df = df.crossJoin(often).withColumn("__all__", F.transform(F.array_sort(rank), lambda x: x["c"])).drop("often")
-        return df.withColumn(some, F.slice("__all__", F.lit(1), F.greatest(F.size("__all__") - need + 1, F.lit(0)).cast("int"))).withColumnRenamed("__all__", all_)
-
-    a, b = keyed(a, "__la__", "__ls__"), keyed(b, "__ra__", "__rs__")
-    pairs = a.withColumn("__key__", F.explode("__ls__")).join(b.withColumn("__key__", F.explode("__rs__")), "__key__")
-    both = F.size("__la__") + F.size("__ra__")
-    pairs = pairs.where((F.col("ln") != F.col("rn")) & (200.0 * F.least(F.size("__la__"), F.size("__ra__")) >= least * both))
-    pairs = pairs.where((F.get(F.array_intersect("__ls__", "__rs__"), F.lit(0)) == F.col("__key__")) & (200.0 * F.size(F.array_intersect("__la__", "__ra__")) >= least * both))
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("ln"), F.col("rn"))).where(F.col("score") >= least)
+    from strikeframe.functions.text import letter_places, letter_rows, norm_name, sorted_letters, subsequence_of
+
+    a, b = (df.select(F.col(c).alias(o), norm_name(F.col(c)).alias("n")) for df, c, o in ((left, left_name, "l"), (right, right_name, "r")))
+    pairs = similar_pairs(a, b, least)
+    detail = lambda df, n, more: df.select("n").distinct().select(F.col("n").alias(n), sorted_letters(F.col("n")).alias(f"{n}_letters"), *more)
+    pairs = pairs.join(detail(a, "ln", [letter_rows(F.col("n")).alias("rows")]), "ln").join(detail(b, "rn", [letter_places(F.col("n")).alias("places")]), "rn")
+    both = F.size("ln_letters") + F.size("rn_letters")
+    pairs = pairs.where(200.0 * F.size(F.array_intersect("ln_letters", "rn_letters")) >= least * both)
+    pairs = pairs.withColumn("score", 200.0 * subsequence_of(F.col("ln"), F.col("rn"), F.col("rows"), F.col("places")) / both).where(F.col("score") >= least)
+    scored = pairs.select("ln", "rn", "score").join(a.withColumnRenamed("n", "ln"), "ln").join(b.withColumnRenamed("n", "rn"), "rn")
     w = Window.partitionBy("l").orderBy(F.desc("score"), "rn", "r")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l", "r", "score", "rank")
 

@@ -1,5 +1,7 @@
 """Fuzzy candidates against every pair."""
 
+import random
+
 from strikeframe.operators import joins
 
 NAMES = ["jon jones", "jones jon", "jom jones", "khabib nurmagomedov", "nurmagomedov khabibb", "habib nurmagomedov", "amanda nunes", "mandy nunez", "nunes a", "li", "il", "x", "", "aaaa aaab", "baaa aaaa", "max holloway", "holoway max", "rose", "roze namajunas", "rose namajunas"]
@@ -16,8 +18,11 @@ def ratio(a, b):
     return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 0.0
 
 
+NAMES += ["a" * 30 + " " + "b" * 45, "a" * 29 + " " + "b" * 45, "o'neil-smith jo", "oneil smith jo", "li na", "na li", "lina", "ab", "abc"]
+
+
 def test_every_pair(spark):
-    for least, k in ((70.0, 3), (40.0, 50)):
+    for least, k in ((70.0, 3), (40.0, 50), (95.0, 5)):
         df = spark.createDataFrame([(n,) for n in NAMES], "a string")
         got = joins.fuzzy_top_k(df, df.withColumnRenamed("a", "b"), "a", "b", k, least).collect()
         want = set()
@@ -26,3 +31,16 @@ def test_every_pair(spark):
             want |= {(a, b, round(-s, 9), i + 1) for i, (s, b) in enumerate(best)}
         assert {(r.l, r.r, round(r.score, 9), r["rank"]) for r in got} == want
         assert any(a.split()[0] != b.split()[0] for a, b, _, _ in want if a and b)
+
+
+def test_random_names_and_few_candidates(spark):
+    rng = random.Random(3)
+    syllables = ["ka", "lo", "mi", "ren", "to", "shi", "bar", "dun", "el", "vo", "gri", "pas", "que", "zor"]
+    name = lambda: " ".join("".join(rng.choices(syllables, k=rng.randint(2, 3))) for _ in range(2))
+    names = sorted({name() for _ in range(300)} | {f"{n}x" for n in (name() for _ in range(30))})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    want = {(a, b) for a in names for b in names if a != b and ratio(a, b) >= 85.0}
+    pairs = {(r.ln, r.rn) for r in joins.similar_pairs(df, df, 85.0).collect()}
+    assert want <= pairs and len(pairs) < 0.25 * len(names) ** 2
+    got = joins.fuzzy_top_k(df, df.withColumnRenamed("n", "m"), "n", "m", 1000, 85.0).collect()
+    assert {(r.l, r.r) for r in got} == want and all(abs(r.score - ratio(r.l, r.r)) < 1e-9 for r in got)
