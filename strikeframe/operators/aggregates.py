@@ -80,6 +80,32 @@ def percentiles(df: DataFrame, keys: list[str], column: str, at: tuple[float, ..
     return df.groupBy(*keys).agg(F.percentile(column, list(at)).alias("p")).select(*keys, *[F.col("p")[i].alias(f"p{round(100 * a)}") for i, a in enumerate(at)])
 
 
+def percentiles_by_rank(df: DataFrame, keys: list[str], column: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """``percentiles`` of groups of any size, with a bounded part of the table in each task.
+
+    ``percentiles`` holds a group's distinct values in one buffer. Here rows are put in order of group and value, and
+    the two rows next to each percentile's place are picked by their number.
+    """
+    from strikeframe.operators.windows import global_order
+
+    rows = df.select(*keys, F.col(column).cast("double").alias("__v__")).where("__v__ is not null")
+    placed = global_order(rows, [*keys, "__v__"], "__n__")
+    # one row a group: its first number and its size
+    groups = placed.groupBy(*[F.col(k).alias(f"__k_{k}__") for k in keys]).agg(F.min("__n__").alias("__first__"), F.count("*").alias("__size__"))
+    wanted = groups.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("__size__") - 1) * F.lit(a)).alias("k")) for i, a in enumerate(at)])).alias("__w__"))
+    low, high = F.floor("__w__.k"), F.ceil("__w__.k")
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(low, high))).alias("__at__")).withColumn("__n__", F.col("__first__") + F.col("__at__"))
+    met = wanted.join(placed.select("__n__", "__v__"), "__n__")
+    k, names = F.col("__w__.k"), [f"p{round(100 * a)}" for a in at]
+
+    def between(i: int) -> Column:
+        below, above, part = (F.max(F.when((F.col("__w__.i") == i) & test, v)) for test, v in ((F.col("__at__") == F.floor(k), F.col("__v__")), (F.col("__at__") == F.ceil(k), F.col("__v__")), (F.lit(True), k - F.floor(k))))
+        return below + (above - below) * part
+
+    out = met.groupBy(*[f"__k_{k}__" for k in keys]).agg(*[between(i).alias(n) for i, n in enumerate(names)])
+    return out.select(*[F.col(f"__k_{k}__").alias(k) for k in keys], *names)
+
+
 def pair_totals(landed: str, attempted: str, name: str) -> list[Column]:
     """Sum of a pair that is null only if all are null, its ``X of Y`` and its percentage."""
     a, b = F.sum(landed), F.sum(attempted)

@@ -36,13 +36,7 @@ def global_order(df: DataFrame, order: list[Column | str], out: str = "position"
     input, so that a value of half the table is dealt to many ranges, too. The dealt rows are written, since ranges
     come from a sample and would differ if they were drawn twice.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = df.withColumn("__tie__", F.monotonically_increasing_id())
-    dealt = tied.repartitionByRange(parts, *keys, "__tie__").sortWithinPartitions(*keys, "__tie__").drop("__tie__")
-    # the id of a row is that of its range, times 2^33, and its place there
-    placed = written(dealt.withColumn("__at__", F.monotonically_increasing_id()), "order")
-    placed = placed.withColumns({"__part__": F.shiftright("__at__", 33), "__at__": F.col("__at__").bitwiseAND((1 << 33) - 1)})
+    placed = dealt_in_order(df, order, [])
     counts = placed.groupBy("__part__").count()
     before = F.sum("count").over(Window.orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__part__", F.coalesce(before, F.lit(0)).alias("__before__"))
@@ -51,6 +45,72 @@ def global_order(df: DataFrame, order: list[Column | str], out: str = "position"
     return numbered.select(*(c for c in df.columns if c != out), out)
 
 
+def dealt_in_order(df: DataFrame, order: list[Column | str], scratch: list[str]) -> DataFrame:
+    """A table of the rows in parts of bounded size, each sorted and before the next, numbered by ``__part__`` and ``__at__``."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("__tie__", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(parts, *keys, "__tie__").sortWithinPartitions(*keys, "__tie__").drop("__tie__")
+    placed = written(dealt.withColumn("__at__", F.monotonically_increasing_id()), "order", scratch)
+    return placed.withColumns({"__part__": F.shiftright("__at__", 33), "__at__": F.col("__at__").bitwiseAND((1 << 33) - 1)})
+
+
+def rolling_prior_split(df: DataFrame, by: list[str], order: list[str], measures: list[str], spans: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """``rolling_prior`` for keys that may hold any part of the table.
+
+    Rows are dealt in parts by key and order, so that a large key spans several parts and no task has it whole. Each
+    part hands on, for the key that it ends with, the sums and counts of its rows and the last of them; what reaches a
+    part's first key is added up over the parts before, of which there is one row each. Within a part the usual
+    windows run, and what they lack at its beginning is taken from what was handed on.
+    """
+    most = max(spans)
+    dealt = dealt_in_order(df, [*by, *order], [])
+    row = F.struct(*[F.col(m).cast("double").alias(m) for m in measures])
+    key = [F.col(b) for b in by]
+    segment = Window.partitionBy("__part__", *by)
+    placed = dealt.withColumn("__n__", F.row_number().over(segment.orderBy("__at__")))
+
+    # one row a part: the key that it ends with, whether it began before, and what its rows of that key add up to
+    ends = dealt.groupBy("__part__").agg(F.max("__at__").alias("__at__"))
+    last = dealt.join(F.broadcast(ends), ["__part__", "__at__"]).select("__part__", *by)  # as many rows as parts, like all that follow
+    same = [F.col(b).eqNullSafe(F.col(f"__k_{b}__")) for b in by]
+    of_last = dealt.join(F.broadcast(last.select(F.col("__part__").alias("__p__"), *[F.col(b).alias(f"__k_{b}__") for b in by])), [F.col("__part__") == F.col("__p__"), *same])
+    late = of_last.groupBy("__part__", *by).agg(
+        F.count("*").alias("rows"), *[F.sum(F.col(m).cast("double")).alias(f"sum_{m}") for m in measures], *[F.count(m).alias(f"n_{m}") for m in measures]
+    )
+    tail = of_last.withColumn("__z__", F.row_number().over(Window.partitionBy("__part__").orderBy(F.desc("__at__")))).where(F.col("__z__") <= most)
+    tail = tail.groupBy(F.col("__part__").alias("__p__")).agg(F.sort_array(F.collect_list(F.struct("__at__", row.alias("r")))).alias("tail"))
+    handed = late.join(F.broadcast(tail), F.col("__part__") == F.col("__p__")).drop("__p__")
+    before = Window.partitionBy(*by).orderBy("__part__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = Window.partitionBy(*by).orderBy("__part__").rowsBetween(1 - most, Window.currentRow)
+    carried = handed.select(
+        (F.col("__part__") + 1).alias("__p__"), *[F.col(b).alias(f"__k_{b}__") for b in by], F.sum("rows").over(before).alias("__rows__"),
+        *[F.sum(c).over(before).alias(f"__{c}__") for m in measures for c in (f"sum_{m}", f"n_{m}")], F.flatten(F.collect_list("tail").over(few)).alias("__tail__"),
+    )
+    # a part without rows hands nothing on, and no key goes past a part that it doesn't reach the end of
+    rows = placed.join(F.broadcast(carried), [F.col("__part__") == F.col("__p__"), *same], "left")
+    own = segment.orderBy("__at__")
+    out = {}
+    for m in measures:
+        for n in spans:
+            lacking = F.greatest(F.lit(0), F.least(n - F.col("__n__") + 1, F.when(F.col("__tail__").isNull(), 0).otherwise(F.size("__tail__"))))
+            old = F.filter(_taken("__tail__", lacking, m), lambda v: v.isNotNull())
+            total = F.coalesce(F.sum(F.col(m).cast("double")).over(own.rowsBetween(-n, -1)), F.lit(0.0)) + F.coalesce(F.aggregate(old, F.lit(0.0), lambda x, v: x + v), F.lit(0.0))
+            count = F.count(m).over(own.rowsBetween(-n, -1)) + F.coalesce(F.size(old), F.lit(0))
+            out[f"{m}_avg_{n}"] = F.when(count > 0, total / count)
+        total = F.coalesce(F.sum(F.col(m).cast("double")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.coalesce(F.col(f"__sum_{m}__"), F.lit(0.0))
+        count = F.count(m).over(own.rowsBetween(Window.unboundedPreceding, -1)) + F.coalesce(F.col(f"__n_{m}__"), F.lit(0))
+        out[f"{m}_avg_career"] = F.when(count > 0, total / count)
+    out["prior_rows"] = F.col("__n__") - 1 + F.coalesce("__rows__", F.lit(0))
+    return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def _taken(rows: str, n: Column, measure: str) -> Column:
+    """The measure of the last n of the rows handed on; empty without any."""
+    last = F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), n)
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(last, lambda x: x["r"][measure])).otherwise(F.array().cast("array<double>"))
+
+
 def gap_pick(df: DataFrame, by: list[str], score: str, tie: list[str], gap: float) -> DataFrame:
     """The best row of each group and whether it leads the second by the gap."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), *tie)
