@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strikeframe.functions.domain import repair_score
+from strikeframe.operators.predicates import FIGHT_BOUNDS, ROUND_BOUNDS, suspicious
+from strikeframe.sources.scratch import discard
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -40,3 +45,63 @@ def verdict(report: DataFrame, unmapped_most: int = 500, share_most: float = 0.1
     hard = (F.col("core_rows") == 0) | (F.col("missing_sides") > 0) | (F.col("orphans") > 0)
     soft = (F.col("unmapped") > unmapped_most) | ((F.col("round_rows") > 0) & (F.col("unmapped") > share_most * F.col("round_rows")))
     return report.withColumn("verdict", F.when(hard, "fail").when(soft, "warn").otherwise("pass"))
+
+
+#: Numbers that can't be negative and pairs of landed and attempted, of a fight's statistics and of a round's.
+FIGHT_NUMBERS = ["kd", "sig_landed", "sig_att", "total_landed", "total_att", "td_landed", "td_att", "sub_att", "rev", "ctrl_sec"]
+FIGHT_PAIRS = [("sig_landed", "sig_att"), ("total_landed", "total_att"), ("td_landed", "td_att")]
+ROUND_NUMBERS = ["sig_landed", "sig_attempted", "tot_landed", "tot_attempted", "td_landed", "td_attempted", "kd", "sub_att", "rev", "passes", "ctrl_sec"]
+ROUND_PAIRS = [("sig_landed", "sig_attempted"), ("tot_landed", "tot_attempted"), ("td_landed", "td_attempted")]
+
+
+def suspicious_fight() -> Column:
+    return suspicious(FIGHT_NUMBERS, FIGHT_PAIRS, FIGHT_BOUNDS)
+
+
+def suspicious_round() -> Column:
+    return suspicious(ROUND_NUMBERS, ROUND_PAIRS, ROUND_BOUNDS)
+
+
+class Refused(ValueError):
+    """A table that failed its audit and was not published; ``report`` holds the figures."""
+
+    def __init__(self, report: dict[str, object]):
+        super().__init__(f"the audit failed: {report}")
+        self.report = report
+
+
+def audited_write(df: DataFrame, path: str, figures: dict[str, Column], hard: Callable[[dict], bool], partition_by: list[str] | None = None) -> dict[str, object]:
+    """Writes the table and works out the figures, aggregates of its rows, in the same pass; returns them.
+
+    The table is written aside and takes the place of the one at ``path`` only if ``hard`` doesn't hold of the figures;
+    else nothing at ``path`` changes, and ``Refused`` is raised.
+    """
+    spark = df.sparkSession
+    seen, aside = Observation(), f"{path.rstrip('/')}.audit-{uuid.uuid4().hex}"
+    df.observe(seen, *[c.alias(n) for n, c in figures.items()]).write.partitionBy(*(partition_by or [])).parquet(aside)
+    report = dict(seen.get)
+    if hard(report):
+        discard(spark, [aside])
+        raise Refused(report)
+    discard(spark, [path])
+    moved, to = spark._jvm.org.apache.hadoop.fs.Path(aside), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not moved.getFileSystem(spark._jsc.hadoopConfiguration()).rename(moved, to):
+        raise OSError(f"{aside} couldn't be renamed to {path}")
+    return report
+
+
+def report_lines(report: DataFrame, samples: dict[str, tuple[DataFrame, list[str], int]] | None = None, title: str = "AUDIT") -> DataFrame:
+    """section, position and line of a text report: the figures of a frame of one row, then some rows of each sample.
+
+    A sample is a frame, its columns (which also order it) and how many rows to show; one without rows shows ``none``.
+    """
+    names = [c for c in report.columns if c != "verdict"]
+    head = report.select(F.lit(0).alias("section"), F.posexplode(F.array(F.lit(title), *[F.format_string(f"  {n:<28} %s", F.col(n).cast("string")) for n in names], *([F.concat(F.lit("STATUS: "), F.upper("verdict"))] if "verdict" in report.columns else []))).alias("position", "line"))
+    out = head
+    for k, (name, (rows, columns, most)) in enumerate((samples or {}).items(), 1):
+        shown = rows.select(*columns).orderBy(*columns).limit(most)
+        line = F.concat(F.lit("  "), F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in columns]))
+        listed = shown.agg(F.sort_array(F.collect_list(F.struct(*columns, line.alias("__line__")))).alias("rows"))  # ``most`` rows
+        texts = F.when(F.size("rows") == 0, F.array(F.lit("  none"))).otherwise(F.transform("rows", lambda r: r["__line__"]))
+        out = out.unionByName(listed.select(F.lit(k).alias("section"), F.posexplode(F.concat(F.array(F.lit(name)), texts)).alias("position", "line")))
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeframe.sources.scratch import discard, written
+
 
 def _last_of_each(df: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -18,6 +20,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], sequence: str | None
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(_last_of_each(new, keys, sequence))
 
 
+def merge_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str, sequence: str | None = None) -> int:
+    """``upsert`` into a table of files by a partition column, writing only partitions that change; returns how many.
+
+    Changed are those that new rows belong to, and those that hold an old row of a new row's key, which may have moved.
+    The others' files stay. A partition that loses its last row is deleted.
+    """
+    old = spark.read.parquet(path)
+    new = _last_of_each(new.select(*old.columns), keys, sequence)
+    scratch: list[str] = []
+    new = written(new, "merge-new", scratch)
+    held = old.select(*keys, partition).join(new.select(*keys), keys, "left_semi").select(partition)
+    touched = written(held.union(new.select(partition)).distinct(), "merge-partitions", scratch)
+    kept = old.join(touched, old[partition].eqNullSafe(touched[partition]), "left_semi").join(new.select(*keys), keys, "left_anti")
+    merged = written(kept.unionByName(new), "merge-rows", scratch)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    n = touched.count()
+    for r in touched.join(merged.select(partition).distinct(), touched[partition].eqNullSafe(merged[partition]), "left_anti").toLocalIterator():
+        name = "__HIVE_DEFAULT_PARTITION__" if r[0] is None else str(r[0])
+        discard(spark, [f"{path.rstrip('/')}/{partition}={name}"])
+    discard(spark, scratch)
+    return n
+
+
 def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str], sequence: str | None = None) -> DataFrame:
     """Each column by its rule: ``new`` (overwrite), ``fill`` (only where the old is null), ``prefer`` (the new unless
     it is null), ``keep``, as are columns without a rule. Rows of either side alone stay as they are; of several new rows
