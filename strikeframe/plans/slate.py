@@ -37,6 +37,24 @@ def with_odds(players: DataFrame, odds: DataFrame | None, sequence: str = "money
     return out.withColumn("p_win", D.blend(D.implied_probability(F.col("moneyline")), F.col("p_win")))
 
 
+def player_pool(players: DataFrame, projections: DataFrame | None = None) -> DataFrame:
+    """Fight blocks of a slate file's players (``readers.slate``): fight_id, fighters (dearest first) and how many are projected.
+
+    A player's projection is that of the model, by id, where there is one; else the average, or what the salary is
+    worth. Players without a fight of the usual text form a block by that text.
+    """
+    baseline = D.fallback_projection(F.col("salary").cast("double"), F.col("avg_points_per_game"))
+    rows = fight_map(players).withColumn("fight_id", F.coalesce("fight_id", "game_info", F.lit("")))
+    if projections is not None:
+        rows = rows.join(projections.select("player_id", F.col("proj_mean").alias("__model__")), "player_id", "left")
+    else:
+        rows = rows.withColumn("__model__", F.lit(None).cast("double"))
+    rows = rows.withColumns({"proj": F.coalesce("__model__", baseline), "modelled": F.col("__model__").isNotNull()})
+    one = F.struct((-F.col("salary")).alias("o"), "player_id", "player_name", "salary", "opponent", "proj", "modelled")
+    blocks = rows.groupBy("fight_id").agg(F.sort_array(F.collect_list(one)).alias("fighters"), F.count_if("modelled").alias("n_modelled"))
+    return blocks.withColumn("fighters", F.transform("fighters", lambda f: f.dropFields("o")))
+
+
 #: What ownership adds up to, its bounds, and the bounds of tiers.
 OWN_TOTAL, LEAST_OWN, MOST_OWN = 260.0, 0.5, 55.0
 MEGA_OWN, HIGH_OWN, MID_OWN = 35.0, 22.0, 12.0
