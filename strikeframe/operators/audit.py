@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def verdict(report: DataFrame, unmapped_most: int = 500, share_most: float = 0.1
     return report.withColumn("verdict", F.when(hard, "fail").when(soft, "warn").otherwise("pass"))
 
 
+def constraints(df: DataFrame, key: list[str], checks: dict[str, Column], parents: dict[str, DataFrame]) -> DataFrame:
+    """constraint and violations: rows whose key is null or repeated, rows that fail a check (null passes), orphans.
+
+    ``parents`` has, for a column of the table, the table that must have its values under the same name.
+    """
+    named = " ".join(key)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    keys = df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(missing | (F.col("n") > 1), F.col("n")).otherwise(0)), F.lit(0)).alias("violations"))
+    out = keys.select(F.lit(f"key {named}").alias("constraint"), "violations")
+    if checks:
+        failed = df.agg(*[F.count_if(~c).alias(f"check {n}") for n, c in checks.items()])
+        out = out.unionByName(failed.unpivot([], failed.columns, "constraint", "violations"))
+    for column, parent in parents.items():
+        lost = orphans(df.select(column), parent, column).agg(F.count("*").alias("violations"))
+        out = out.unionByName(lost.select(F.lit(f"parent {column}").alias("constraint"), "violations"))
+    return out
+
+
 #: Numbers that can't be negative and pairs of landed and attempted, of a fight's statistics and of a round's.
 FIGHT_NUMBERS = ["kd", "sig_landed", "sig_att", "total_landed", "total_att", "td_landed", "td_att", "sub_att", "rev", "ctrl_sec"]
 FIGHT_PAIRS = [("sig_landed", "sig_att"), ("total_landed", "total_att"), ("td_landed", "td_att")]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strikeframe.functions.parse import number, whole
+from strikeframe.functions.text import candidate_id, norm_name
+from strikeframe.sources.sinks import upsert
 
 SLATE = T.StructType([T.StructField(c, T.StringType()) for c in ("Position", "Name + ID", "Name", "ID", "Roster Position", "Salary", "Game Info", "TeamAbbrev", "AvgPointsPerGame")])
 
@@ -32,15 +37,52 @@ def slate(spark: SparkSession, path: str, slate_id: str) -> DataFrame:
     ).where("salary is not null")
 
 
+def minimal_slate(spark: SparkSession, path: str) -> DataFrame:
+    """The players of a slate file with the game's text as their fight and their average as projection."""
+    raw = csv(spark, path, SLATE)
+    return raw.select(
+        F.trim("ID").alias("player_id"), F.trim("Name").alias("player_name"), whole(F.col("Salary")).alias("salary"), F.trim("Game Info").alias("fight_id"), number(F.col("AvgPointsPerGame"), F.lit(0.0)).alias("proj")
+    )
+
+
+def slate_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A table of slates after a slate file: its players replace those of the same slate and id."""
+    return upsert(old, new, ["slate_id", "player_id"])
+
+
 def feature_payloads(df: DataFrame, ids: tuple[str, ...] = ("fight_id", "fighter_id")) -> DataFrame:
-    """The ids and the whole row as JSON."""
-    return df.select(*ids, F.to_json(F.struct(*df.columns)).alias("payload_json"))
+    """The ids and the whole row as JSON, without what is null or no number."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    values = [F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns]
+    return df.select(*ids, F.to_json(F.struct(*values)).alias("payload_json"))
+
+
+def alias_file(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """raw_name and fighter_id of an alias file, by the raw name and by the normal one, for ids that are known.
+
+    A row without an id takes the one that opens its first candidate; a file without the two columns is refused.
+    """
+    raw = csv(spark, path)
+    lacking = [c for c in ("raw_name", "fighter_id") if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"{path} lacks {', '.join(lacking)}")
+    ident = F.coalesce(F.nullif(F.trim("fighter_id"), F.lit("")), candidate_id(F.col("candidate_1")) if "candidate_1" in raw.columns else F.lit(None).cast("string"))
+    rows = raw.select(F.trim("raw_name").alias("raw"), ident.alias("fighter_id")).where("raw <> ''")
+    forms = rows.select(F.explode(F.array_distinct(F.array("raw", norm_name(F.col("raw"))))).alias("raw_name"), "fighter_id")
+    return forms.join(known.select("fighter_id").distinct(), "fighter_id", "left_semi").select("raw_name", "fighter_id").distinct()
 
 
 def feed(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """A JSON array file's newest objects, 1 to 20."""
+    """A JSON array file's newest objects, 1 to 20; what is no object is left out, a missing or broken file is empty."""
     schema = "title string, url string, source string, published_at string, thumbnail_url string, description string"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    items = text.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("v"))
+    rows = items.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT<"))).select(F.from_json(F.to_json("v"), schema).alias("r")).select("r.*")
     return rows.orderBy(F.desc(F.coalesce(F.try_to_timestamp("published_at"), F.lit("1970-01-01").cast("timestamp"))), "url").limit(max(1, min(limit, 20)))
 
 
@@ -57,16 +99,19 @@ def preview(spark: SparkSession, table: str, allowed: set[str], order: list[str]
     return spark.table(table).orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 500)))
 
 
-def catalog_listing(spark: SparkSession, allowed: set[str] | None = None) -> DataFrame:
-    """Names of the tables and views that may be shown, in order."""
+def catalog_listing(spark: SparkSession, allowed: set[str] | None = None, counts: bool = False) -> DataFrame:
+    """Names of the tables and views that may be shown, in order, with their numbers of rows if asked for."""
     names = sorted(t.name for t in spark.catalog.listTables() if allowed is None or t.name in allowed)
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    if not counts or not names:
+        return spark.createDataFrame([(n,) for n in names], "name string")
+    each = [spark.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in names]
+    return reduce(DataFrame.unionByName, each).orderBy("name")
 
 
-def inferred_tables(spark: SparkSession, files: dict[str, str], views: dict[str, str] | None = None) -> None:
-    """CSV files as tables of inferred types, written anew, and views under further names."""
-    for name, path in files.items():
-        spark.read.option("header", True).option("inferSchema", True).csv(path).write.mode("overwrite").saveAsTable(name)
+def typed_tables(spark: SparkSession, files: dict[str, tuple[str, str]], views: dict[str, str] | None = None) -> None:
+    """CSV files, each with its schema, as tables that are written anew, and views under further names."""
+    for name, (path, schema) in files.items():
+        spark.read.option("header", True).schema(schema).csv(path).write.mode("overwrite").option("overwriteSchema", True).saveAsTable(name)
     for view, table in (views or {}).items():
         spark.table(table).createOrReplaceTempView(view)
 

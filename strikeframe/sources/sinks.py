@@ -121,6 +121,14 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A CSV report with a header."""
+def document(df: DataFrame, order: list[str], at: Column) -> DataFrame:
+    """The whole table as one JSON document with its count and time, for small exports: one task holds it."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"])
+    return df.agg(rows.alias("rows")).select(F.to_json(F.struct(F.size("rows").alias("count"), at.alias("generated_at"), "rows")).alias("value"))
+
+
+def write_report(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A CSV report with a header, for spreadsheets with a byte order mark before it."""
+    if mark:  # a mark can only stand before a name that is written without quotes
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).csv(path)
