@@ -107,11 +107,15 @@ def searched(asked: Anchors, ids: np.ndarray, labels: np.ndarray, vectors: np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _parts(dealt: DataFrame, n: int, out: str) -> DataFrame:
+    """Numbers below n for neighbouring partitions, of which there may be more or fewer than were asked for."""
+    parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1
+    return dealt.withColumn(out, F.floor(F.col("part") * n / parts).cast("int")).drop("part")
+
+
 def _pairs(anchors: DataFrame, rows: DataFrame, n_blocks: int, width: int, k: int, same: bool, score_type: str, windows_of: Callable) -> DataFrame:
     """Every block of anchors with every stretch that is long enough for it: id, window, row and score."""
-    dealt = written(anchors.repartitionByRange(n_blocks, "need", "id").withColumn("part", F.spark_partition_id()), "negatives-anchors")
-    parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1  # Spark may deal to more or fewer parts than it is asked for
-    dealt = dealt.withColumn("block", F.floor(F.col("part") * n_blocks / parts).cast("int")).drop("part")
+    dealt = _parts(written(anchors.repartitionByRange(n_blocks, "need", "id").withColumn("part", F.spark_partition_id()), "negatives-anchors"), n_blocks, "block")
     blocks = dealt.groupBy("block").agg(F.min("need").alias("need"))
     stretches = rows.groupBy("stretch").agg(F.max("norm").alias("longest"))
     meet = F.col("longest") * (1 + SLACK) >= F.col("need")
@@ -152,8 +156,7 @@ def mine(
     n_stretches = max(1, -(-size[0] // STRETCH))
     width = max(1, size[1] or 0)
     # equal norms are told apart by the nonce, so that a stretch has a bounded number of rows whatever repeats
-    rows = numbered.repartitionByRange(n_stretches, F.desc("norm"), "nonce").withColumn("stretch", F.spark_partition_id()).drop("nonce")
-    rows = written(rows, "negatives-rows", scratch)
+    rows = _parts(written(numbered.repartitionByRange(n_stretches, F.desc("norm"), "nonce").withColumn("part", F.spark_partition_id()).drop("nonce"), "negatives-rows", scratch), n_stretches, "stretch")
     asked = anchors.select(*columns).where(known).groupBy("id").agg(F.min(F.struct("label", "v")).alias("a")).select("id", "a.*").withColumn("norm", norm("v"))
     asked = written(asked, "negatives-asked", scratch)
     top = asked.agg(F.count("*"), F.max("norm"), F.max(F.size("v"))).first()
