@@ -148,12 +148,35 @@ def fuzzy_top_k(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l", "r", "score", "rank")
 
 
-def alias_candidates(left: DataFrame, right: DataFrame, query: str, name: str, k: int = 8) -> DataFrame:
-    """Of each query the k best names of the same first word, by score, reason and name; never itself."""
-    from strikeframe.functions.names import alias_score
-
-    first = lambda c: F.substring_index(F.col(c), " ", 1)
-    pairs = left.select(query, first(query).alias("__first__")).join(right.select(name, first(name).alias("__first__")), "__first__").where(F.col(query) != F.col(name))
-    scored = pairs.withColumn("__s__", alias_score(F.col(query), F.col(name))).where("__s__ is not null").select(query, name, "__s__.score", "__s__.reason")
-    w = Window.partitionBy(query).orderBy(F.desc("score"), "reason", name)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def alias_candidates(left: DataFrame, right: DataFrame, query: str, name: str, k: int = 8, least: float | None = None) -> DataFrame:
+    """Of each query the k best names of the same first word, by score, reason and name; never itself.
+
+    Names that share a further word are met by first and further word, those that extend one another by their
+    beginnings, and, if ``least`` is given, those of that token-sort ratio by ``similar_pairs``; of a pair met in
+    several ways the best score counts, so no query is compared with every name of its first word. All names that
+    extend a query score alike, so only the first k of each beginning are kept.
+    """
+    from strikeframe.functions.text import norm_name, tokens
+
+    def parts(df: DataFrame, c: str, out: str) -> DataFrame:
+        words = tokens(F.col(out))
+        return df.select(F.col(c).alias(out)).distinct().select(out, F.get(words, F.lit(0)).alias("first"), F.array_distinct(F.slice(words, 2, 1_000_000)).alias("rest"), F.size(words).alias("size")).where("size > 0")
+
+    q, n = parts(left, query, "q"), parts(right, name, "n")
+    sharing = q.select("q", "first", F.explode("rest").alias("w")).join(n.select("n", "first", F.explode("rest").alias("w")), ["first", "w"]).where("q <> n")
+    sharing = sharing.groupBy("q", "n").agg((95 + F.least(F.count("*"), F.lit(3))).cast("int").alias("score")).select("q", "n", "score", F.lit("same_first_plus_overlap").alias("reason"))
+    begin = lambda df, c: df.select(c, F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.lit(1)) == " "), lambda i: F.substring(F.col(c), F.lit(1), i - 1))).alias("b"))
+    order = Window.partitionBy("b").orderBy("n")
+    first = begin(n, "n").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    longer = q.select("q").join(first, F.col("q") == F.col("b")).select("q", "n", F.lit(97).alias("score"), F.lit("canonical_extends_query").alias("reason"))
+    shorter = begin(q, "q").join(n.select("n"), F.col("n") == F.col("b")).select("q", "n", F.lit(94).alias("score"), F.lit("query_extends_canonical").alias("reason"))
+    # a pair that shares a further word is not also one of those that extend one another
+    extending = longer.unionByName(shorter).where("q <> n").join(sharing.select("q", "n"), ["q", "n"], "left_anti")
+    every = sharing.unionByName(extending)
+    if least is not None:
+        like = fuzzy_top_k(q.select("q"), n.select("n"), "q", "n", k=1_000_000, least=least)
+        same = F.substring_index(norm_name(F.col("l")), " ", 1) == F.substring_index(norm_name(F.col("r")), " ", 1)
+        every = every.unionByName(like.where(same).select(F.col("l").alias("q"), F.col("r").alias("n"), F.floor("score").cast("int").alias("score"), F.lit("same_firstname_fuzzy").alias("reason")))
+        every = every.groupBy("q", "n").agg(F.max_by("reason", F.struct("score", F.col("reason") != "same_firstname_fuzzy")).alias("reason"), F.max("score").alias("score")).select("q", "n", "score", "reason")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "reason", "n")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("n").alias(name), "score", "reason", "rank")

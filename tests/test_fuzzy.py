@@ -44,3 +44,27 @@ def test_random_names_and_few_candidates(spark):
     assert want <= pairs and len(pairs) < 0.25 * len(names) ** 2
     got = joins.fuzzy_top_k(df, df.withColumnRenamed("n", "m"), "n", "m", 1000, 85.0).collect()
     assert {(r.l, r.r) for r in got} == want and all(abs(r.score - ratio(r.l, r.r)) < 1e-9 for r in got)
+
+
+def test_alias_candidates(spark):
+    names = ["al bo", "al bo cy", "al", "al cy", "al bo bo", "bo al", "alan bo", "al boo", "al x y z", "al z y x"]
+    df = spark.createDataFrame([(n,) for n in names], "q string")
+    want = {}
+    for a in names:
+        found = []
+        for b in names:
+            x, y = a.split(), b.split()
+            if a == b or x[0] != y[0]:
+                continue
+            both = len({*x[1:]} & {*y[1:]})
+            told = (95 + min(both, 3), "same_first_plus_overlap") if both else (97, "canonical_extends_query") if b.startswith(a + " ") else (94, "query_extends_canonical") if a.startswith(b + " ") else None
+            like = ratio(a, b)
+            if like >= 70 and (told is None or int(like) > told[0]):
+                told = (int(like), "same_firstname_fuzzy")
+            if told:
+                found.append((-told[0], told[1], b))
+        want[a] = [(b, -s, r) for s, r, b in sorted(found)[:4]]
+    got = {}
+    for r in joins.alias_candidates(df, df.withColumnRenamed("q", "n"), "q", "n", 4, 70.0).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.n, r.score, r.reason))
+    assert got == {a: w for a, w in want.items() if w}
