@@ -161,6 +161,13 @@ def leaderboards(players: DataFrame, slate: str, n: int = 10) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def summaries(players: DataFrame, slate: str) -> DataFrame:
+    """A row for each slate of ``owned`` players: counts, percentiles, and the first of each board."""
+    firsts = [F.min_by("player_id", F.struct(-_figure(c), "player_id")).alias(b) for b, c in BOARDS.items()]
+    marked = [F.percentile(_figure(c), p).alias(n) for n, c, p in (("value75", "value", 0.75), ("ceiling90", "proj_ceiling", 0.9), ("own90", "own_proj", 0.9))]
+    return players.groupBy(slate).agg(F.count("*").alias("players"), F.countDistinct("fight_id").alias("fights"), *marked, *firsts)
+
+
 def feasible_lineups(
     players: DataFrame, score: Column, size: int = 6, cap: int = 50_000, floor: int = 47_000, max_avg_risk: float = 0.42, one_per_fight: bool = True
 ) -> DataFrame:

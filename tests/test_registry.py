@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from strikeframe.plans import audit_queries, crawl_queries, page_queries, payload_queries, registry, reports, scale_queries, slate_queries, stream_queries  # noqa: F401  the others add their queries to the registry's
+from strikeframe.plans import audit_queries, crawl_queries, page_queries, payload_queries, registry, reports, scale_queries, slate_queries, status_queries, stream_queries  # noqa: F401  the others add their queries to the registry's
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
