@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,37 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine: workers idle for a while before they end."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose worker is trimmed when its partition is done."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function for ``applyInArrow`` whose worker is trimmed after a group."""
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def written(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors.
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm import textvec as V
-from strikeframe.llm.common import discard, has, membership, written
+from strikeframe.llm.common import discard, has, lean, lean_group, membership, written
 
 WIDTH, NUM, DEN = 5, 75, 100
 SKETCH = 1024
@@ -102,7 +102,7 @@ def node_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return source.mapInArrow(run, "kind int, doc_id long, size long, node long, sketch array<long>")
+    return source.mapInArrow(lean(run), "kind int, doc_id long, size long, node long, sketch array<long>")
 
 
 def _pack48(ordered: np.ndarray) -> bytes:
@@ -253,12 +253,12 @@ def prefixes(docs: DataFrame, info: DataFrame, text: str, width: int, num: int,
                 out.append({"bucket": int(b), "known": False, "shingles": b"", "at": sketch[k].astype("<i8").tobytes(), "counts": size[k].astype("<u4").tobytes(), "nodes": node[k].astype("<i8").tobytes()})
             yield pa.RecordBatch.from_pylist(out, _ARROW_BLOB)
 
-    packed = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(pack, _BLOB)
-    counted = packed.groupBy("bucket").applyInArrow(count, _BLOB)
+    packed = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(lean(pack), _BLOB)
+    counted = packed.groupBy("bucket").applyInArrow(lean_group(count), _BLOB)
     nodes = info.where("kind = 0 and node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    described = nodes.select("node", "size", "sketch").mapInArrow(describe, _BLOB)
+    described = nodes.select("node", "size", "sketch").mapInArrow(lean(describe), _BLOB)
     return counted.unionByName(described).groupBy("bucket").applyInArrow(
-        choose, "node long, size long, own long, sketch array<long>, shingles array<long>, counts array<long>, short long"
+        lean_group(choose), "node long, size long, own long, sketch array<long>, shingles array<long>, counts array<long>, short long"
     )
 
 
@@ -369,7 +369,7 @@ def led(members: DataFrame) -> DataFrame:
 
     dealt = members.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "share", "parts")
     spread = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(spread, "key", "part").sortWithinPartitions("key", "part", "share", "node").mapInArrow(run, "node long, centre long, key long, share float")
+    return dealt.repartition(spread, "key", "part").sortWithinPartitions("key", "part", "share", "node").mapInArrow(lean(run), "node long, centre long, key long, share float")
 
 
 def stars(keys: DataFrame, num: int, den: int, scratch: list[str]) -> DataFrame:
@@ -466,7 +466,7 @@ def across(keys: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame:
         if rest is not None:
             yield emitted(cells(rest, True)[0])
 
-    return member.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
+    return member.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int, scratch: list[str]) -> DataFrame:
@@ -485,7 +485,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int,
                 at = np.flatnonzero(keep & first)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([values[end[k] - size[k] : end[k]].tobytes() for k in at], pa.binary())], names=["node", "hashes"])
 
-    found = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(sets, "node long, hashes binary")
+    found = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(lean(sets), "node long, hashes binary")
     found = written(found.join(ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets", scratch)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +498,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(found.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(found.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(similar), "a long, b long")
 
 
 def components(links: DataFrame, scratch: list[str], label: str = "components") -> DataFrame:
@@ -547,7 +547,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     verdict = groups.where("doc_id is not null").groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows"))
     verdict = written(verdict.where("not stays or rows > 1"), "jaccard-verdict")
     shared = membership(verdict.select("doc_id"))
-    names = docs.columns
+    own = [f"__c{i}__" for i in range(len(docs.columns))]  # columns keep their names, whatever they are
+    names, docs_key = own, own[docs.columns.index(key)]
+    given, docs = docs.columns, docs.toDF(*own)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -555,8 +557,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
             doubt = has(shared, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, pa.array(doubt)], names=[*names, "__id__", "__doubt__"])
 
-    schema = docs.select("*", F.col(key).cast("long").alias("__id__"), F.lit(True).alias("__doubt__")).schema
-    rows = docs.select("*", F.col(key).cast("long").alias("__id__")).mapInArrow(marked, schema)
+    schema = docs.select("*", F.col(docs_key).cast("long").alias("__id__"), F.lit(True).alias("__doubt__")).schema
+    rows = docs.select("*", F.col(docs_key).cast("long").alias("__id__")).mapInArrow(lean(marked), schema)
     doubtful = rows.where("__doubt__").join(verdict.withColumnRenamed("doc_id", "__id__"), "__id__", "left")
     exact = doubtful.where(F.coalesce("stays", F.lit(True))).dropDuplicates(["__id__"])
-    return rows.where("not __doubt__").select(*names).unionByName(exact.select(*names))
+    kept = rows.where("not __doubt__").select(*names).unionByName(exact.select(*names))
+    return kept.select(*[F.col(o).alias(c) for o, c in zip(own, given, strict=True)])

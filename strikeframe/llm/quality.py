@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strikeframe.llm import textvec as V
-from strikeframe.llm.common import written
+from strikeframe.llm.common import lean, written
 
 STATISTICS = (
     "log_bytes", "log_words", "upper", "lower", "digit", "punctuation", "white", "beyond_ascii", "word_length", "word_length_spread",
@@ -110,7 +110,7 @@ def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
                     [*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), pa.ListArray.from_arrays(cuts, pa.array(got.ravel()))], names=[*keep, out]
                 )
 
-    return df.select(*keep, F.col(text).cast("binary").alias("__text__")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("binary").alias("__text__")).mapInArrow(lean(run), schema)
 
 
 class Model:
@@ -184,8 +184,8 @@ def fit(labelled: DataFrame, features: str = "statistics", label: str = "label",
 
     # each partition sends its part of the equations in bands, and each band is added up by a task of its own
     spread = 2 * labelled.sparkSession.sparkContext.defaultParallelism
-    parts = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).coalesce(spread).mapInArrow(partial, "band int, sums binary")
-    bands = {r.band: np.frombuffer(r.sums) for r in parts.repartition(FOLDS * BANDS, "band").mapInArrow(added, "band int, sums binary").collect()}
+    parts = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).coalesce(spread).mapInArrow(lean(partial), "band int, sums binary")
+    bands = {r.band: np.frombuffer(r.sums) for r in parts.repartition(FOLDS * BANDS, "band").mapInArrow(lean(added), "band int, sums binary").collect()}
     gram = np.concatenate([bands[k] for k in range(FOLDS * BANDS)]).reshape(FOLDS, size, size + 1)
     whole = gram.sum(0)
     model.weights = _solve(whole[:, :-1], whole[:, -1])
@@ -197,7 +197,7 @@ def fit(labelled: DataFrame, features: str = "statistics", label: str = "label",
             phi, f = model.features(x), np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([pa.array((phi * apart[f]).sum(1)), batch.column(1)], names=["raw", "label"])
 
-    scored = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).mapInArrow(out_of_fold, "raw double, label double")
+    scored = labelled.select(features, F.col(label).cast("double"), F.col(fold).cast("int")).mapInArrow(lean(out_of_fold), "raw double, label double")
     bins = scored.groupBy(F.round(F.greatest(F.lit(-2.0), F.least(F.lit(3.0), "raw")), 3).alias("bin")).agg(F.avg("raw"), F.avg("label"), F.count("*")).orderBy("bin").collect()
     model.edges, model.levels = rising(*(np.array([b[i] for b in bins], float) for i in (1, 2, 3)))
     return model
@@ -213,7 +213,7 @@ def scored(df: DataFrame, model: Model, features: str = "statistics", out: str =
             x = np.asarray(batch.column(len(keep)).flatten()).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shared.value.score(x))], names=[*keep, out])
 
-    return df.select(*keep, features).mapInArrow(run, df.select(*keep).schema.add(out, T.DoubleType()))
+    return df.select(*keep, features).mapInArrow(lean(run), df.select(*keep).schema.add(out, T.DoubleType()))
 
 
 def learned(stats: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", label: str = "quality") -> Model:
@@ -233,5 +233,7 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` whose texts score ``least`` or more; their statistics are made anew, so no text is stored."""
     model = learned(written(with_statistics(docs, text, [key]), "statistics"), labels, learn, key, label)
-    every = with_statistics(docs, text, docs.columns, out="__statistics__")
-    return scored(every, model, "__statistics__", "__score__").where(F.col("__score__") >= least).select(*docs.columns)
+    own = [f"__c{i}__" for i in range(len(docs.columns))]  # columns keep their names, whatever they are
+    every = with_statistics(docs.toDF(*own), own[docs.columns.index(text)], own, out="__statistics__")
+    kept = scored(every, model, "__statistics__", "__score__").where(F.col("__score__") >= least)
+    return kept.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])

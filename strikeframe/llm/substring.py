@@ -10,7 +10,8 @@ that cover ``LEAST_RUN`` bytes or more are repeated passages.
 
 Defined results: null and empty texts have no chunks; rows without an id take no part; rows that share id and text
 count as one document; ties can't be, since id and position order chunks; an empty table gives no rows; extra
-columns are ignored by ``repeats`` and kept by ``without_repeats``.
+columns are ignored by ``repeats`` and kept by ``without_repeats``; long texts are cut and compared whole; ``repeats``
+lists the passages of different texts of one id together, ``without_repeats`` tells such texts apart.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeframe.llm import textvec as V
@@ -80,8 +81,16 @@ def chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", only: Broadcast | None = None) -> DataFrame:
-    """doc_id, start, size, and the digest in two halves, of every chunk; of those in ``only``, if it is given."""
+def _version(text: str) -> Column:
+    """Tells different texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")))
+
+
+def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", only: Broadcast | None = None, versions: bool = False) -> DataFrame:
+    """doc_id, start, size, and the digest in two halves, of every chunk; of those in ``only``, if it is given.
+
+    With ``versions`` there is also the text's ``version``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,28 +102,32 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", only:
                 high = V.word_hashes(part, starts, ends).view(np.int64)
                 low = V.word_hashes(part, starts, ends, V.MORE_CODES, V.MORE_BASE).view(np.int64)
                 columns = [ids[i:j][rows], (starts - inner[rows]).astype(np.int32), (ends - starts).astype(np.int32), high, low]
+                columns += [np.asarray(batch.column(2))[i:j][rows]] if versions else []
                 if only is not None:
                     keep = has(only, high)
                     columns = [c[keep] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "size", "high", "low", *more])
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, start int, size int, high long, low long")
+    more = ["version"] if versions else []
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *[_version(text).alias(v) for v in more]).where("doc_id is not null")
+    return source.mapInArrow(run, "doc_id long, start int, size int, high long, low long" + (", version long" if versions else ""))
 
 
-def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start and size of the chunks that come again, and source_id and source_start of their first."""
-    every = chunk_table(docs, key, text)
-    groups = every.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", versions: bool = False) -> DataFrame:
+    """doc_id (and version), start and size of the chunks that come again, and source_id and source_start of their first."""
+    whole = ["doc_id", *(["version"] if versions else [])]
+    every = chunk_table(docs, key, text, versions=versions)
+    groups = every.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct(*whole, "start")).alias("first"))
     groups = written(groups.where("n > 1").select("high", "low", "first"), "chunks")
-    again = chunk_table(docs, key, text, membership(groups.select("high")))
-    found = again.join(groups, ["high", "low"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return found.select("doc_id", "start", "size", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"))
+    again = chunk_table(docs, key, text, membership(groups.select("high")), versions)
+    found = again.join(groups, ["high", "low"]).where(F.struct(*whole, "start") != F.col("first"))
+    return found.select(*whole, "start", "size", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_start"))
 
 
 def runs(repeated: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     """doc_id and its repeated passages: array of start, end (bytes, the end excluded) and source_ids, in order."""
-    found = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"), "source_id"))).alias("found"))
+    whole = [c for c in ("doc_id", "version") if c in repeated.columns]
+    found = repeated.groupBy(*whole).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"), "source_id"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +142,11 @@ def runs(repeated: DataFrame, least: int = LEAST_RUN) -> DataFrame:
                         passages.append({"start": x["start"], "end": x["end"], "source_ids": [x["source_id"]]})
                 passages = [p | {"source_ids": sorted({*p["source_ids"]})} for p in passages if p["end"] - p["start"] >= least]
                 if passages:
-                    out.append({"doc_id": row["doc_id"], "passages": passages})
+                    out.append({c: row[c] for c in whole} | {"passages": passages})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_ids", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("passages", kind)]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.int64()) for c in whole), ("passages", kind)]))
 
-    return found.mapInArrow(run, "doc_id long, passages array<struct<start:int,end:int,source_ids:array<bigint>>>")
+    return found.mapInArrow(run, ", ".join(f"{c} long" for c in whole) + ", passages array<struct<start:int,end:int,source_ids:array<bigint>>>")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN) -> DataFrame:
@@ -158,10 +171,15 @@ def left_over(text: bytes, passages: list[dict]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept_text", least: int = LEAST_RUN) -> DataFrame:
-    """``docs`` with the text that is left without its repeated passages, cut at whole characters."""
-    passages = repeats(docs, key, text, least).select(F.col("doc_id").alias("__key__"), F.col("passages").alias("__passages__"))
+    """``docs`` with the text that is left without its repeated passages, cut at whole characters.
+
+    Rows of one id with different texts are documents of their own, the one with the smaller digest the first of them;
+    rows of one id and text lose the same passages.
+    """
+    found = runs(repeated_chunks(docs, key, text, versions=True), least)
+    passages = found.select(F.col("doc_id").alias("__key__"), F.col("version").alias("__version__"), F.col("passages").alias("__passages__"))
     kept = [c for c in docs.columns if c != out]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept]).join(passages, F.col(f"`{key}`").cast("long") == F.col("__key__"), "left")
+    df = docs.select(*[F.col(f"`{c}`") for c in kept]).join(passages, (F.col(f"`{key}`").cast("long") == F.col("__key__")) & (_version(text) == F.col("__version__")), "left")
     df = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text__"), "__passages__")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
