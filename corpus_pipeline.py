@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns its rows; all but the
 last return the columns of documents. Labels and benchmark are read from ``sf_dir``.
+
+Defined results, by stage: a null or empty text has a score like any other and goes if it is low; it is no copy of
+anything, isn't contaminated, has no entities and no tokens. Rows without an id stay and are no copy of each other; rows
+of one id with the same text count as one. Long texts count whole; of copies the smallest id stays. Further columns,
+whatever their names (dots, or names of a stage's own columns), come through all stages but the last as they are. Empty
+tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,14 +32,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets surrogates; n_chars follows the new text."""
     new = pii.surrogates(docs, SURROGATE_KEY, count="__entities__", kinds="__kinds__")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
