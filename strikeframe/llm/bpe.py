@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strikeframe.llm.common import lean, trim
+
 #: Pieces whose ids a worker keeps; beyond it the table starts anew.
-PIECES_KEPT = 150_000
+PIECES_KEPT = 50_000
 #: Characters of text whose tokens are held at a time.
-TEXT_AT_ONCE = 1_500_000
+TEXT_AT_ONCE = 300_000
 
 OFFSETS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -129,7 +131,9 @@ def codec(shared: Broadcast) -> Codec:
     data, pattern = shared.value
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _CODECS:
+        _CODECS.clear()
         _CODECS[key] = Codec(data, pattern)
+        trim()
     return _CODECS[key]
 
 
@@ -186,7 +190,7 @@ def encode(df: DataFrame, shared: Broadcast, text: str = "text", ids: str = "ids
                     names.append(offsets)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, T.StructType(fields))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(lean(run), T.StructType(fields))
 
 
 def decode(df: DataFrame, shared: Broadcast, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -196,6 +200,7 @@ def decode(df: DataFrame, shared: Broadcast, ids: str = "ids", decoded: str = "d
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _CODECS.clear()  # a worker that has encoded before has no more use for it
         own = byte_table(shared)
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
@@ -204,7 +209,7 @@ def decode(df: DataFrame, shared: Broadcast, ids: str = "ids", decoded: str = "d
                 got = [own.decode(x or b"") for x in rows.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(got, pa.binary())], names=[*kept, decoded])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, T.StructType(fields))
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), T.StructType(fields))
 
 
 def token_count(ids: str = "ids") -> Column:
