@@ -57,7 +57,7 @@ def test_op1_as_the_rank_encoder(spark, documents, tokenizer):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = Q.queries()[name](spark, DATA)
     want = con.sql(Q.oracle_sql()[name])
