@@ -110,20 +110,75 @@ def _keyed(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
     return told.withColumn(f"{name}_prefix", short).select(name, f"{name}_size", f"{name}_prefix", F.col("width").alias(mine), F.col("x.w").alias(other), F.explode(keys).alias("key"))
 
 
+#: Most ways to leave letters out of a name for which ``similar_pairs`` takes the rest of it as a key, and most letters left out.
+MOST_SHORTENED, MOST_LEFT_OUT = 200, 2
+
+
+def _common(a: Column, b: Column, least: float) -> Column:
+    """The least length of a common subsequence of two texts of such lengths that reaches the score."""
+    return F.ceil(least * (a + b) / 200.0 - 1e-9).cast("int")
+
+
+def _shortens(a: Column, b: Column, least: float) -> Column:
+    """Whether pairs of such lengths are met by what is left of both; the others are met by letters."""
+    common = _common(a, b, least)
+
+    def few(n: Column) -> Column:
+        out = n - common
+        return (out <= MOST_LEFT_OUT) & (F.when(out == 2, n * (n - 1) / 2).when(out == 1, n).otherwise(1) <= MOST_SHORTENED)
+
+    return (common <= F.least(a, b)) & few(a) & few(b)
+
+
+def _shortened(names: DataFrame, other: DataFrame, name: str, least: float) -> DataFrame:
+    """A row for each key of a name: a hash of both lengths and of what is left of its sorted words, for each length that
+    the other side has and that may reach the score."""
+    from strikeframe.functions.text import sorted_tokens
+
+    sizes = other.agg(F.collect_set("size").alias("sizes"))  # one row
+    may = F.filter("sizes", lambda s: _shortens(F.col("size"), s, least))
+    rows = names.crossJoin(sizes).select("n", "size", sorted_tokens(F.col("n")).alias("text"), F.explode(may).alias("partner"))
+    without = lambda text, i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+    places = lambda size: F.sequence(F.lit(1), size)
+    text, size, out = F.col("text"), F.col("size"), F.col("size") - _common(F.col("size"), F.col("partner"), least)
+    two = F.flatten(F.transform(F.filter(places(size), lambda i: i > 1), lambda i: F.transform(F.sequence(F.lit(1), i - 1), lambda j: without(without(text, i), j))))
+    left = F.when(out == 0, F.array(text)).when(out == 1, F.transform(places(size), lambda i: without(text, i))).otherwise(two)
+    lengths = ("size", "partner") if name == "ln" else ("partner", "size")
+    return rows.select(F.col("n").alias(name), *lengths, F.explode(F.array_distinct(left)).alias("rest")).select(name, F.xxhash64(*lengths, "rest").alias("key"))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """ln and rn: all pairs of different normal names (column n) that may reach the least token-sort ratio, once each.
 
-    A common subsequence is no longer than what two texts have of each letter. The keys are up to three of a name's
-    rarest letters, so a key is shared by few names however common its letters are alone; a pair is taken at the
-    first key that both have, and only if its lengths allow the score.
+    Two lengths and the score tell how many letters each name may lack of a common subsequence. Where these are few,
+    what is left of a name without them is its key, which (but for chance hashes) only similar names share, so the keys
+    grow with the names and the pairs with the similar ones. Other lengths are met by letters: a common subsequence is
+    no longer than what two texts have of each letter. Those keys are up to three of a name's rarest letters, so a key
+    is shared by few names however common its letters are alone; a pair is taken at the first key that both have, and
+    only if its lengths allow the score.
     """
-    from strikeframe.functions.text import sorted_letters
+    from strikeframe.functions.text import sorted_letters, sorted_tokens
 
     a, b = (df.select("n").where("n <> ''").distinct().withColumn("letters", sorted_letters(F.col("n"))) for df in (left, right))
-    often = b.select(F.explode("letters").alias("c")).groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("often"))
+    sized = [df.select("n", F.length(sorted_tokens(F.col("n"))).alias("size")).where("size > 0") for df in (a, b)]
+    near = _shortened(sized[0], sized[1], "ln", least).join(_shortened(sized[1], sized[0], "rn", least), "key").where(F.col("ln") != F.col("rn")).select("ln", "rn").distinct()
+    return near.unionByName(_by_letters(*(_of_long(df, other, least) for df, other in ((a, sized[1]), (b, sized[0]))), b, least))
+
+
+def _of_long(names: DataFrame, other: DataFrame, least: float) -> DataFrame:
+    """The names that some length of the other side may be similar to, but not by what is left of both."""
+    size = F.size("letters")
+    sizes = other.agg(F.collect_set("size").alias("sizes"))  # one row
+    rest = F.exists("sizes", lambda s: (_common(size, s, least) <= F.least(size, s)) & ~_shortens(size, s, least))
+    return names.crossJoin(sizes).where(rest).select("n", "letters")
+
+
+def _by_letters(a: DataFrame, b: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``similar_pairs`` that are not met by what is left of both; letters are as rare as in ``every``."""
+    often = every.select(F.explode("letters").alias("c")).groupBy("c").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("often"))
     l, r = _keyed(_lettered(a, often, least), "ln", "wl", "wr"), _keyed(_lettered(b, often, least), "rn", "wr", "wl")
     pairs = l.join(r, ["key", "wl", "wr"]).where(F.col("ln") != F.col("rn"))
-    pairs = pairs.where(200.0 * F.least("ln_size", "rn_size") >= least * (F.col("ln_size") + F.col("rn_size")))
+    pairs = pairs.where((200.0 * F.least("ln_size", "rn_size") >= least * (F.col("ln_size") + F.col("rn_size"))) & ~_shortens(F.col("ln_size"), F.col("rn_size"), least))
     both = F.array_intersect("ln_prefix", "rn_prefix")
     return pairs.where(F.array_join(F.slice(both, 1, F.least("wl", "wr")), ",") == F.col("key")).select("ln", "rn")
 

@@ -14,6 +14,7 @@ from strikeframe.functions import text as X
 from strikeframe.functions.parse import payload
 from strikeframe.operators import joins
 from strikeframe.plans.model import FEATURES
+from strikeframe.sources.scratch import written
 
 #: Bounds of the models' chances, and what stands for them where a side isn't known.
 WIN_BOUNDS, FINISH_BOUNDS = (0.05, 0.95), (0.02, 0.80)
@@ -69,8 +70,9 @@ def resolved(names: DataFrame, fighters: DataFrame, aliases: DataFrame, least: f
     hits = looks.select("name", "turn", "look.*").join(keys, ["kind", "form"])
     first = hits.groupBy("name").agg(F.min(F.struct("turn", "fighter_id", "kind", "confidence")).alias("m")).select("name", "m.fighter_id", F.col("m.kind").alias("method"), "m.confidence")
 
-    rest = asked.join(first, "name", "left_anti").select("name", bare.alias("l")).where("l <> ''")
-    known = keys.where("kind = 'exact'").select(F.col("form").alias("r"), "fighter_id")
+    # both are read several times over
+    rest = written(asked.join(first, "name", "left_anti").select("name", bare.alias("l")).where("l <> ''"), "projection-rest")
+    known = written(keys.where("kind = 'exact'").select(F.col("form").alias("r"), "fighter_id"), "projection-known")
     like = joins.fuzzy_top_k(rest.select("l").distinct(), known, "l", "r", k=1, least=least)
     close = rest.join(like, "l").join(known, "r").select("name", "fighter_id", F.lit("fuzzy").alias("method"), (F.col("score") / 100.0).alias("confidence"))
     return first.union(close)
@@ -104,7 +106,7 @@ def projected(players: DataFrame, fighters: DataFrame, aliases: DataFrame, featu
     """
     rows = with_opponents(players)
     asked = players.select(F.col("player_name").alias("name")).union(rows.select("opponent_name"))
-    who, x = resolved(asked, fighters, aliases), newest_features(features, fights)
+    who, x = written(resolved(asked, fighters, aliases), "projection-who"), written(newest_features(features, fights), "projection-features")
     zeros = F.array(*[F.lit(0.0)] * len(FEATURES))
     for name, out, how, values in (("player_name", "fighter_id", "__f__", "__x__"), ("opponent_name", "opponent_id", "__o__", "__y__")):
         note = F.format_string("%s:%.2f", "method", "confidence")

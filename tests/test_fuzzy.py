@@ -68,3 +68,14 @@ def test_alias_candidates(spark):
     for r in joins.alias_candidates(df, df.withColumnRenamed("q", "n"), "q", "n", 4, 70.0).orderBy("q", "rank").collect():
         got.setdefault(r.q, []).append((r.n, r.score, r.reason))
     assert got == {a: w for a, w in want.items() if w}
+
+
+def test_pairs_grow_with_similar_names(spark):
+    """Names of one length over few letters: only what is left of both is a key, so chance pairs don't arise."""
+    rng = random.Random(5)
+    names = sorted({"ann " + "".join(rng.choices("0123456789abcdef", k=12)) for _ in range(1500)})
+    close = [n[:-1] + "g" for n in names[:20]] + [n[1:] for n in names[20:30]]
+    left, right = spark.createDataFrame([(n,) for n in close], "n string"), spark.createDataFrame([(n,) for n in names], "n string")
+    want = {(a, b) for a in close for b in names if a != b and ratio(a, b) >= 92.0}
+    pairs = [(r.ln, r.rn) for r in joins.similar_pairs(left, right, 92.0).collect()]
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs) and len(want) >= 20 and len(pairs) < 2 * len(want)
