@@ -26,6 +26,8 @@ from strikeframe.sources.scratch import discard, written
 
 #: Up to so many players the sets that may follow each are kept; sums that sort out sets may be off by so much.
 MOST_KEPT, SLACK = 40, 1e-6
+#: So many slates' sets are held as Python objects at a time.
+SLATES_AT_ONCE = 16
 
 SETS = "array<struct<score: double, salary: long, members: array<int>, risk: double>>"
 
@@ -46,6 +48,13 @@ def _choices(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), np.int16).reshape(-1, k)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few slates, so that memory doesn't grow with the rows of a batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLATES_AT_ONCE):
+            yield batch.slice(start, SLATES_AT_ONCE)
+
+
 class Pool:
     """A slate's players in the order of their ids, and the best sets of them."""
 
@@ -176,7 +185,7 @@ def optimized(
     kind = pools.schema["slate"].dataType
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for row in batch.to_pylist():
                 full, taken = _limits(len(row["pool"]), [s["members"] for s in row["taken"]], most_each)
@@ -184,7 +193,7 @@ def optimized(
             yield pa.RecordBatch.from_arrays([batch.column("slate"), pa.array(out, sets_type)], names=["slate", "sets"])
 
     def taken_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out, open_ = [], []
             for row in batch.to_pylist():
                 sets = [(s["score"], s["salary"], s["members"], s["risk"]) for s in row["sets"]]

@@ -52,3 +52,12 @@ def test_descriptions_and_exposures(spark):
         assert [p.player_id for p in r.players] == [p.player_id for p in sorted(own, key=lambda p: (-p.proj_mean, p.player_id))]
     counts = Counter(m for ms in members.values() for m in ms)
     assert {r.player_id: (r.n, r.exposure) for r in lineups.exposures(got).collect()} == {m: (n, n / 5) for m, n in counts.items()}
+
+
+def test_few_slates_are_held_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["slate"])
+    parts = list(lineups._few(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
+    assert max(p.num_rows for p in parts) <= lineups.SLATES_AT_ONCE
+    assert [x for p in parts for x in p.column("slate").to_pylist()] == [*range(1000), 3, 4, 5, 6, 7]
