@@ -44,12 +44,14 @@ def _fold(most_attempts: int):
         attempts, done, failed_at, failed_id, last_error = state.get if state.exists else (0, False, None, None, None)
         if not state.hasTimedOut:
             for rows in batches:
-                failed = rows[rows["error"].notna()]
-                attempts += len(failed)
-                done = bool(done or len(failed) < len(rows))
-                for at, ident, error in zip(failed["us"], failed["event_id"], failed["error"], strict=True):
-                    if failed_at is None or (int(at), int(ident)) > (failed_at, failed_id):
-                        failed_at, failed_id, last_error = int(at), int(ident), error
+                # plain lists: an item has few rows at a time, for which pandas' selections cost more than the work
+                for at, ident, error in zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["error"].tolist(), strict=True):
+                    if not isinstance(error, str):
+                        done = True
+                        continue
+                    attempts += 1
+                    if failed_at is None or (at, ident) > (failed_at, failed_id):
+                        failed_at, failed_id, last_error = at, ident, error
         status = "done" if done else "error" if attempts >= most_attempts else "queued"
         state.update((attempts, done, failed_at, failed_id, last_error))
         next_us = failed_at + 1_000_000 * min(LONGEST_WAIT, FIRST_WAIT * 2 ** (min(attempts, 20) - 1)) if status == "queued" else None
