@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from strikeframe.llm.quality import rising
 
 EXAMPLES, NEIGHBOURS = 4_000, 30
 #: Examples in a block of the index, and terms whose weights are held in full.
-BLOCK, FREQUENT = 128, 512
+BLOCK, FREQUENT = 128, 256
 #: Texts whose cosines are worked out at once, and characters of a text that are cut into words at once.
 TEXTS_AT_ONCE, PIECE = 64, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -45,14 +46,21 @@ Vector = tuple[np.ndarray, np.ndarray]
 Neighbours = tuple[np.ndarray, np.ndarray]
 
 
-def word_counts(text: str | None) -> Counter[str]:
-    """How often a text has each of its words."""
-    text, out, at = text or "", Counter(), 0
+def pieces(text: str | None) -> Iterator[list[str]]:
+    """The words of a text, a piece at a time."""
+    text, at = text or "", 0
     while at < len(text):
         gap = _BETWEEN.search(text, at + PIECE) if at + PIECE < len(text) else None
         end = gap.start() if gap else len(text)
-        out.update(WORD.findall(text[at:end].lower()))
+        yield WORD.findall(text[at:end].lower())
         at = end
+
+
+def word_counts(text: str | None) -> Counter[str]:
+    """How often a text has each of its words."""
+    out: Counter[str] = Counter()
+    for words in pieces(text):
+        out.update(words)
     return out
 
 
@@ -87,13 +95,24 @@ class Vocabulary:
         self.words, self.weights = words, weights
         self.number: dict[str, int] | None = None
 
-    def counted(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order, and their counts."""
+    def numbers(self, words: Iterable[str], n: int) -> np.ndarray:
+        """The numbers of ``n`` words; -1 for those that no example has."""
         if self.number is None:  # made by each worker for itself
             self.number = {w: i for i, w in enumerate(self.words)}
-        found = [(self.number[w], n) for w, n in counts.items() if w in self.number]
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, n)
+
+    def present(self, text: str | None) -> np.ndarray:
+        """The terms that a text has, each once, in any order."""
+        words = set().union(*pieces(text))
+        terms = self.numbers(words, len(words))
+        return terms[terms >= 0]
+
+    def counted(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order, and their counts."""
+        terms, n = self.numbers(counts, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(terms)
+        order = order[np.searchsorted(terms[order], 0) :]
+        return terms[order], n[order]
 
     def vector(self, counts: dict[str, int]) -> Vector:
         """TF-IDF of unit length."""
@@ -114,7 +133,7 @@ def frequencies(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarr
         total, n = np.zeros(len(shared.value.words), np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                total[shared.value.counted(word_counts(t.as_py()))[0]] += 1
+                total[shared.value.present(t.as_py())] += 1
                 n += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], names=["term", "n"])
@@ -179,22 +198,24 @@ class Index:
         by_bound = np.argsort(-bounds, axis=1, kind="stable")
         rank = np.empty_like(by_bound)
         np.put_along_axis(rank, by_bound, np.arange(self.blocks)[None, :], 1)
-        least = np.zeros(len(vectors))
+        best, least = np.full((len(vectors), k), -np.inf), np.zeros(len(vectors))
         low = 0
         while low < self.blocks:
-            high = max(1, 4 * low)
+            high = max(1, 8 * low)
             need = (rank >= low) & (rank < high) & (bounds >= least[:, None]) & (bounds > 0)
-            if not need.any() and (bounds[rank >= low].size == 0 or not ((rank >= low) & (bounds >= least[:, None]) & (bounds > 0)).any()):
+            if not need.any():  # later bounds are no larger
                 break
             for b in np.flatnonzero(need.any(0)):
                 who = np.flatnonzero(need[:, b])
                 scores[who, b] = in_blocks[who, b] + q[who] @ self.full[b].T
-            if size > k:
-                least = np.maximum(least, np.partition(scores.reshape(len(vectors), size), size - k, axis=1)[:, size - k] - 1e-9)
+            if high < self.blocks:  # only what is new is compared with the k best so far
+                new = np.take_along_axis(scores, by_bound[:, low:high, None], 1).reshape(len(vectors), -1)
+                best = np.partition(np.concatenate([best, new], 1), new.shape[1], axis=1)[:, new.shape[1] :]
+                least = np.maximum(least, best.min(1) - 1e-9)
             low = high
         out = []
-        for row in np.round(scores.reshape(len(vectors), size), 12):
-            at = np.flatnonzero(row > 0)
+        for row, enough in zip(np.round(scores.reshape(len(vectors), size), 12), least, strict=True):
+            at = np.flatnonzero((row > 0) & (row >= enough))
             if len(at) > k:
                 at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
             at = at[np.lexsort((self.ids[at], -row[at]))][:k]

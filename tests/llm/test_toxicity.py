@@ -67,3 +67,24 @@ def test_long_texts_are_read_whole(monkeypatch):
     whole = toxicity.word_counts(text)
     monkeypatch.setattr(toxicity, "PIECE", 97)
     assert toxicity.word_counts(text) == whole
+
+
+def test_scores_are_sorted_out_once(monkeypatch):
+    """A round compares its own blocks with the best so far, and not all scores again."""
+    rng = np.random.default_rng(7)
+    vectors = []
+    for _ in range(400):
+        terms = np.unique(rng.integers(0, 60, 12))
+        vectors.append((terms, np.full(len(terms), len(terms) ** -0.5)))
+    index = toxicity.Index(np.arange(400), np.arange(400) % 2, vectors, 60, np.arange(60), block=4)
+    sizes, plain = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **named: sizes.append(a.size) or plain(a, *rest, **named))
+    index.nearest(vectors[:50], 5)
+    assert sum(sizes) < 50 * 400
+
+
+def test_present_terms_and_their_counts():
+    vocabulary = toxicity.Vocabulary(["b", "a", "é"], np.ones(3))
+    assert sorted(vocabulary.present("A b, b x É2é").tolist()) == [0, 1, 2] and vocabulary.present(None).tolist() == vocabulary.present("x 1").tolist() == []
+    terms, n = vocabulary.counted(toxicity.word_counts("A b, b x É2é"))
+    assert terms.tolist() == [0, 1, 2] and n.tolist() == [2, 1, 2]
